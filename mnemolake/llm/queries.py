@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemolake.llm import exact_dedup, mixing, packing, simhash
+from mnemolake.llm import exact_dedup, mixing, packing, simhash, substring_dedup, topk, toxicity
 from mnemolake.llm.common import table
 
 
+def op1_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,10 +40,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_two_fit, op7_simhash, op8_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_pivot_distance, op2_best_two_fit, op4_substring_dedup, op5_toxicity, op7_simhash, op8_exact_dedup, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pivot_distance": topk.ORACLE_SQL,
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_exact_dedup": """
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
