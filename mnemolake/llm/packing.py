@@ -24,8 +24,8 @@ from mnemolake.llm.common import cut
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, about 250 bytes each.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, about 200 bytes each.
+CACHE_WORDS = 1_200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -37,8 +37,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokenizer:
     """Token ids of whole texts, word by word with a bounded memory of words.
 
-    For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words in turn
-    (``tests/llm`` compares both). Words not yet known go through the tokenizer together, a text at a time.
+    For a tokenizer that drops white space, splits letters from everything else and never merges across a split, the ids
+    of a text are those of its words in turn, and those of a word before a full stop or comma are the word's and then the
+    mark's (``tests/llm`` compares both with the tokenizer itself). Words of plain Latin letters go straight to the
+    vocabulary's merges; everything else takes the tokenizer's own way.
     """
 
     _known: dict[str, WordTokenizer] = {}
@@ -47,7 +49,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words, self.cache = cache_words, {"": b""}
+        self.model = self.tokenizer.model
+        self.half = cache_words // 2
+        # Two generations: what the younger lacks is taken over from the older, which is dropped when the younger is full.
+        self.young, self.old = {"": b""}, {}
+        self.marks = {mark: self._whole(mark) for mark in ".,"}
+        self.letters = {chr(c): "".join(map(_BYTE_LETTERS.__getitem__, chr(c).encode())) for c in range(0x80, 0x250)}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,24 +63,43 @@ class WordTokenizer:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word[-1] in ".," and len(word) > 1 and word[-2].isalnum():
+                found = (self.young.get(word[:-1]) or self._learn(word[:-1])) + self.marks[word[-1]]
+            elif word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                low = word.lower()
+                if low != word:
+                    found = self.young.get(low) or self._learn(low)
+                else:
+                    if not low.isascii():
+                        low = "".join([c if c < "\x80" else self.letters[c] for c in low])
+                    found = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+            else:
+                found = self._whole(word)
+        self.young[word] = found
+        return found
+
     def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) > self.cache_words:
-                cache.clear()
-                cache[""] = b""
-                new = [w for w in set(words) if w]
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                code = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(code.ids, np.uint32)
-                ends = np.searchsorted(np.array(code.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-                raw, ends = ids.tobytes(), ends.tolist()
-                for w, a, b in zip(part, ends, ends[1:]):
-                    cache[w] = raw[a:b]
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {"": b""}
+        known, learn = self.young.get, self._learn
+        return np.frombuffer(b"".join([w if (w := known(word)) is not None else learn(word) for word in words]), "<u4")
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
