@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import cut, texts
@@ -157,6 +157,11 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def normal(text: Column) -> Column:
+    """``normalise`` as a column, null as empty."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " {2,}", " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -171,10 +176,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     routed = meta.join(_salted(repeated_fingerprints(meta)), ["fingerprint", "salt"], "left_semi").select("doc_id").distinct()
     # Joined by id, copies of one text stay spread over all tasks; each task then sends every distinct text once.
-    normal = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     "), " {2,}", " ")
     suspects = source.join(routed.withColumnRenamed("doc_id", "routed_id"), F.col("doc_id").eqNullSafe(F.col("routed_id")), "left_semi")
     verified = (
-        suspects.groupBy(normal.alias("normal")).agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+        suspects.groupBy(normal(F.col("text")).alias("normal")).agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
         .select(F.sha2("normal", 256).alias("text_sha256"), "group_size")
     )
     groups = cut(verified, "dedup-groups")

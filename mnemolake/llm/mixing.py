@@ -94,8 +94,8 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", "below")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_copies: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken; source and copies on request.
 
     A null text has size 0, a null source is a source of its own (last in order). A source whose target is k times its
     size and a rest takes every document floor(k) times, and once more those under the threshold for the rest, so taken
@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     limits = thresholds(sized, goal.select("source", "budget"))
     limits = limits.withColumnRenamed("source", "of").join(goal, F.col("of").eqNullSafe(F.col("source"))).select("source", "source_size", "target", "whole", "below")
     copies = F.col("whole") + F.when((F.col("hash") < F.col("below")) & (F.col("whole") < most), 1).otherwise(0)
-    return _join_by_source(sized, limits).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    more = ["source", copies.cast("int").alias("copies")] if with_copies else []
+    return _join_by_source(sized, limits).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *more)
 
 
 #: DuckDB's version: a prefix of each source in hash order.

@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mnemolake.llm.common import cut, texts
 
@@ -60,6 +62,16 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     return source.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
+def hex_fingerprint(shingle: int = 3):
+    """A function of a text column: the fingerprint as 16 hex digits."""
+
+    @F.pandas_udf(StringType())
+    def of(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: f"{fingerprint((t or '').encode(), shingle):016x}")
+
+    return of
+
+
 class _Forest:
     """Smallest member of each group under batches of links, vectorised."""
 

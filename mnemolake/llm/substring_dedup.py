@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import cut, texts
+from mnemolake.llm.common import cut, discard, texts
 
 WINDOW, ANCHOR = 35, 8
 SHARD_SEGMENTS = 512
@@ -306,6 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     live = cut(found.join(again, "anchor"), "sub-live")
+    discard(found)
     kinds = live.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("one"))
     kinds = cut(kinds, "sub-kinds")
     whole = live.join(kinds.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
