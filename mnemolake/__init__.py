@@ -1 +1,5 @@
 """A knowledge-retrieval engine expressed as PySpark DataFrame plans."""
+
+from mnemolake.engine import KnowledgeBase
+
+__all__ = ["KnowledgeBase"]

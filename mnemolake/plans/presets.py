@@ -59,7 +59,7 @@ def graph_route(seeds: DataFrame, relations: DataFrame, texts: DataFrame, events
     was kept follow, within what is left of the context budget.
     """
     rest = T.remaining_query(query, names)
-    wanted = T.query_terms(graph.expand_query(rest, synonyms) if synonyms else rest, False)
+    wanted = T.query_terms(graph.expand_query(rest, synonyms) if synonyms else rest, True)
     near = graph.incident(relations, seeds).join(texts.select("id", "text"), "id")
     if wanted:
         near = near.withColumn("weight", T.token_weight(T.tokenize("text"), wanted)).where("weight > 0")
