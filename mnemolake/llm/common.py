@@ -30,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back.
 
-    The result has no lineage, survives lost executors, and carries real size statistics for later join planning.
+    The result has no lineage, survives lost executors, and carries real size statistics for later join planning. What
+    led to it is garbage by then; collecting it lets Spark delete the shuffle files of finished steps at once.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
