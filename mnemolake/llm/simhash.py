@@ -1,7 +1,8 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints within ``budget`` differing bits agree on at least one of ``budget + 1`` equal blocks, so each distinct
-fingerprint goes, rotated, to one trie per block; the first block is the path from the root to the trie that a task holds.
+Fingerprints within ``budget`` differing bits agree on at least ``agree`` of ``budget + agree`` equal blocks, so each
+distinct fingerprint goes to one trie per choice of blocks, with those bits first: they are the path from the root to the
+part of the trie that a task holds. One block will do for small budgets, larger ones take two, so that paths stay long.
 Pairs of trie nodes descend together and add up differing bits; a pair over the budget is cut with all below it. A task
 keeps a union-find over what it holds and emits a spanning star, never all pairs of a dense group. The stars meet in
 alternating large-star and small-star rounds.
@@ -9,6 +10,7 @@ alternating large-star and small-star rounds.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,19 @@ LEAF_PAIRS = 64
 FRONTIER = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, second: bool = False) -> tuple[int, int]:
+    """SimHash of the word shingles; and on request one of other bits, from the shingles' hashes mixed again."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return 0, 0
     joined = memoryview(b" ".join(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -40,26 +51,32 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     n = len(words) - k + 1
     hashing = xxhash.xxh64_intdigest
     hashes = np.fromiter((hashing(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    first = _majority(hashes)
+    if not second:
+        return first, 0
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return first, _majority(hashes ^ (hashes >> np.uint64(31)))
+
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return fingerprints(text, shingle)[0]
 
-def _fingerprints(shingle: int):
+
+def _fingerprints(shingle: int, second: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, shingle) for t in texts(batch)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprints(t, shingle, second=second) for t in texts(batch)], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "fp", "fp2"])
 
     return run
 
 
-def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash over word shingles as a signed long; zero for texts without words."""
+def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", second: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2): 64-bit SimHash over word shingles as a signed long; zero for texts without words. fp2 has other
+    bits of the same shingles, or is zero if not asked for."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return source.mapInArrow(_fingerprints(shingle, second), "doc_id long, fp long, fp2 long")
 
 
 def hex_fingerprint(shingle: int = 3):
@@ -93,8 +110,9 @@ class _Forest:
             self.label[up] = self.label[self.label[up]]
 
 
-def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int = 64) -> np.ndarray:
-    """Group labels (indices) of sorted distinct ``keys`` after linking those within ``budget`` bits and one ``prefix``."""
+def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int = 64, others: np.ndarray | None = None, confirm: int = 64) -> np.ndarray:
+    """Group labels (indices) of sorted distinct ``keys`` after linking those within ``budget`` bits and one ``prefix``,
+    and whose ``others``, where given, are within ``confirm`` bits."""
     forest = _Forest(len(keys))
     top = keys >> np.uint64(bits - prefix) if prefix else np.zeros(len(keys), np.uint64)
     edges = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(keys)]])
@@ -110,7 +128,7 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int =
         a0, a1, b0, b1, d = nodes
         small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth == bits)
         if small.any():
-            _compare(keys, nodes[:, small], budget, forest)
+            _compare(keys, nodes[:, small], budget, forest, others, confirm)
             nodes = nodes[:, ~small]
         if not nodes.shape[1]:
             continue
@@ -132,7 +150,7 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int =
     return forest.label
 
 
-def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest) -> None:
+def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest, others: np.ndarray | None, confirm: int) -> None:
     a0, a1, b0, b1, _ = nodes
     sizes = (a1 - a0) * (b1 - b0)
     for part in np.array_split(np.arange(len(sizes)), max(1, int(sizes.sum() >> 22))):
@@ -143,42 +161,68 @@ def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest)
         i, j = a0[pair] + nth // width, b0[pair] + nth % width
         near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
         near &= i < j
+        if others is not None:
+            near[near] = np.bitwise_count(others[i[near]] ^ others[j[near]]) <= confirm
         if near.any():
             forest.link(i[near], j[near])
 
 
-def _links(budget: int):
-    blocks = budget + 1
+def _choices(budget: int) -> tuple[int, list[np.ndarray]]:
+    """Bits of the path, and for every choice of blocks the bits' order, highest first."""
+    agree = 1 if budget <= 3 else 2
+    width = 64 // (budget + agree)
+    blocks = [list(range(63 - width * i, 63 - width * (i + 1), -1)) for i in range(budget + agree)]
+    orders = []
+    for chosen in itertools.combinations(blocks, agree):
+        first = [bit for block in chosen for bit in block]
+        orders.append(np.array(first + [bit for bit in range(63, -1, -1) if bit not in first]))
+    return agree * width, orders
+
+
+def _permuted(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(keys.byteswap().view(np.uint8).reshape(-1, 8), axis=1)  # highest bit first
+    return np.ascontiguousarray(np.packbits(bits[:, 63 - order], axis=1)).view(np.uint64).ravel().byteswap()
+
+
+def _spread(budget: int):
+    path, orders = _choices(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches]
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for choice, order in enumerate(orders):
+                start = _permuted(fp, order) >> np.uint64(64 - path)
+                yield pa.record_batch([pa.array((start + np.uint64(choice << path)).astype(np.int64)), *batch.columns], names=["path", "fp", "fp2"])
+
+    return run
+
+
+def _links(budget: int, confirm: int | None):
+    bits, orders = _choices(budget)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy() for c in range(3)] for b in batches]
         if not parts:
             return
-        block, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        for one in range(blocks):
-            keys = np.sort(key[block == one])
-            if not len(keys):
-                continue
-            label = trie_links(keys, 64 // blocks, budget)
-            linked = label != np.arange(len(keys))
-            back = 64 // blocks * one  # undo the rotation
-            a, b = (_rotate(keys[x], (64 - back) % 64).view(np.int64) for x in (linked, label[linked]))
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        path, fp, other = (np.concatenate([p[c] for p in parts]) for c in range(3))
+        for choice in np.unique(path >> bits).tolist():
+            mine = path >> bits == choice
+            keys, plain, second = _permuted(fp[mine].view(np.uint64), orders[choice]), fp[mine], other[mine].view(np.uint64)
+            order = np.argsort(keys)
+            label = trie_links(keys[order], bits, budget, others=second[order] if confirm is not None else None, confirm=confirm or 0)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.record_batch([pa.array(plain[order[linked]]), pa.array(plain[order[label[linked]]])], names=["a", "b"])
 
     return run
 
 
-def _rotate(keys: np.ndarray, left: int) -> np.ndarray:
-    return keys if not left else (keys << np.uint64(left)) | (keys >> np.uint64(64 - left))
+def links(fingerprints: DataFrame, budget: int = BUDGET, confirm: int | None = None) -> DataFrame:
+    """(a, b): links that connect all of the distinct ``fp`` within ``budget`` bits; spanning stars, not all pairs.
 
-
-def links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(a, b): links that connect all of the distinct ``fp`` within ``budget`` bits; spanning stars, not all pairs."""
-    width = 64 // (budget + 1)
-    left = [F.col("fp") if not k else F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", 64 - k)) for k in range(0, width * (budget + 1), width)]
-    turned = fingerprints.select(F.posexplode(F.array(*left)).alias("block", "key"))
-    path = F.xxhash64("block", F.shiftrightunsigned("key", 64 - width))
-    return turned.repartition(path).mapInArrow(_links(budget), "a long, b long")
+    ``confirm``: how many bits of ``fp2`` may differ as well.
+    """
+    spread = fingerprints.select("fp", "fp2").mapInArrow(_spread(budget), "path long, fp long, fp2 long")
+    return spread.repartition("path").mapInArrow(_links(budget, confirm), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -207,16 +251,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", confirm: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
-    Texts whose fingerprints differ in at most ``budget`` bits are linked, and component_id is the smallest doc_id that
+    Texts whose fingerprints differ in at most ``budget`` bits (and in at most ``confirm`` of 64 further ones, if given: that
+    rules out chance at wide budgets) are linked, and component_id is the smallest doc_id that
     links reach (null ids count last). Null and empty texts have fingerprint zero and are linked like any other. An empty
     table gives an empty result.
     """
-    hashed = cut(simhash(docs, shingle, id_col, text_col), "simhash")
-    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    groups = components(links(distinct, budget))
+    hashed = cut(simhash(docs, shingle, id_col, text_col, confirm is not None), "simhash")
+    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2")), "simhash-distinct")
+    groups = components(links(distinct, budget, confirm))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "simhash-roots")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -155,7 +155,8 @@ def _fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def _components(prints, budget=3):
+def _components(prints, budget=3, linked=None):
+    linked = linked or (lambda a, b: (a ^ b).bit_count() <= budget)
     parent = {p: p for p in prints}
 
     def find(x):
@@ -166,7 +167,7 @@ def _components(prints, budget=3):
     listed = list(parent)
     for i, a in enumerate(listed):
         for b in listed[:i]:
-            if (a ^ b).bit_count() <= budget:
+            if linked(a, b):
                 parent[find(a)] = find(b)
     return {p: find(p) for p in parent}
 
@@ -183,22 +184,23 @@ def test_simhash(docs):
     assert all(r.component_id == least.get(roots[int(r.fingerprint, 16)]) for r in got)
 
 
-def test_trie_links_and_components(spark):
+@pytest.mark.parametrize("budget", [3, 8])
+def test_trie_links_and_components(spark, budget):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     keys = set(base.tolist())
     for x in base.tolist():  # chains: each link three bits on
         for _ in range(12):
-            for b in rng.integers(0, 64, 3).tolist():
+            for b in rng.integers(0, 64, budget).tolist():
                 x ^= 1 << b
             keys.add(x)
     dense = int(base[0])
     keys |= {dense ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)}
-    frame = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long").repartition(3)
-    links = simhash.links(frame)
-    assert links.count() < 4 * len(keys)  # stars, not all pairs
+    frame = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long").selectExpr("fp", "0L AS fp2").repartition(3)
+    links = simhash.links(frame, budget)
+    assert links.count() < len(simhash._choices(budget)[1]) * len(keys)  # stars, not all pairs
     got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(links).collect()}
-    want = _components(keys)
+    want = _components(keys, budget)
     groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
     assert {g for g in groups(want) if len(g) > 1} == groups(got)
 

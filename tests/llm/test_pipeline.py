@@ -42,8 +42,9 @@ def test_stages(spark, folder):
     exact = exact.cache()
 
     near = stages["simhash near-dedup"](spark, exact, folder)
-    prints = {k: simhash.fingerprint((k[1] or "").encode(), 5) for k in got}
-    roots = _components(set(prints.values()))
+    prints = {k: simhash.fingerprints((k[1] or "").encode(), corpus_pipeline.SHINGLE, second=True) for k in got}
+    linked = lambda a, b: (a[0] ^ b[0]).bit_count() <= corpus_pipeline.DIFFERING and (a[1] ^ b[1]).bit_count() <= corpus_pipeline.CONFIRMED
+    roots = _components(set(prints.values()), linked=linked)
     least = {}
     for (i, _), p in prints.items():
         if i is not None:
