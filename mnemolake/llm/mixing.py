@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("weights"),
     )
-    stops = F.col("cap") * F.col("weights") <= F.col("weight") * F.col("left")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - a product of sums outgrows a long
+    stops = wide("cap") * wide("weights") <= wide("weight") * wide("left")
     level = level.withColumn("stops", stops)
     free = F.struct("left", "weights")
     level = level.withColumn("free", F.max_by(F.when(~F.col("stops"), free), F.when(~F.col("stops"), F.col("weights"))).over(everything))
