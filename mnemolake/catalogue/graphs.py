@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.catalogue.registry import query, with_parts
+from mnemolake.catalogue import search
+from mnemolake.catalogue.registry import ORACLE_SQL, query, with_parts
 from mnemolake.catalogue.texts import relation_texts
 from mnemolake.operators import graph
 from mnemolake.plans import presets
@@ -176,3 +177,25 @@ def preset_graph(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, d)
     seeds = store.entities.where(F.col("id").isin(SUPPLIER, ROOT)).select("id")
     return presets.graph_route(seeds, store.relations.select("id", "src", "predicate", "dst"), relation_texts(store), store.events, store.participants, "what is based_in", [])
+
+
+def _routes(**named: DataFrame) -> DataFrame:
+    out = None
+    for route, rows in named.items():
+        one = rows.select(F.lit(route).alias("route"), "id")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _routes_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS route, id FROM ({ORACLE_SQL['preset_' + name]})" for name in names)
+
+
+@query(_routes_sql("memory", "notes"))
+def preset_rag(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(memory=search.preset_memory(spark, d), notes=search.preset_notes(spark, d))
+
+
+@query(_routes_sql("memory", "graph", "notes"))
+def preset_broad(spark: SparkSession, d: str) -> DataFrame:
+    return _routes(memory=search.preset_memory(spark, d), graph=preset_graph(spark, d), notes=search.preset_notes(spark, d))

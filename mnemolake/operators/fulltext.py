@@ -1,21 +1,24 @@
-"""BM25 full-text search as a plan over postings.
+"""BM25 full-text search.
 
-The index is a pure function of documents: one row per (document, field, term) with its frequency and the field's length,
-and one row of corpus statistics. A search keeps only its own terms, so term filters reach the exploded tokens before
-anything is shuffled; a stored index is partitioned by a hash of the term and prunes to a few files.
+Over token arrays (``TextIndex``) a search is two narrow scans: one aggregates the corpus statistics and the document
+frequency of its few terms to a single row, one scores each row by itself and keeps the best; nothing is shuffled. Over
+stored postings (``StoredIndex``) the terms' hash buckets prune the scan to a few files, and only matching postings meet.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as T
 
 K1, B = 1.2, 0.75
 NAME_BOOST = 3.0
+BUCKETS = 256
 FIELDS = ("text", "name", "path")
 HEADER = ("id", "namespace", "scope", "kind", "tags", "note_id")
 
@@ -30,22 +33,66 @@ class TextIndex:
     def build(cls, documents: DataFrame) -> TextIndex:
         return cls(documents.select(*HEADER, *[T.tokenize(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS]))
 
-    def statistics(self) -> DataFrame:
-        """One row: documents, and the mean length of each field. Over all documents, whatever a search filters."""
-        return self.tokens.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f)).alias(f"mean_{f}") for f in FIELDS])
+    def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
+        """Statistics over all documents, whatever a search filters, and the terms' frequencies: one row."""
+        sums = [F.avg(F.size(f)) for f in fields] + [F.sum(F.array_contains(f, t).cast("long")) for f in fields for t in terms]
+        n, *rest = self.tokens.agg(F.count(F.lit(1)), *sums).first()
+        found = iter(rest[len(fields) :])
+        return Profile(n, dict(zip(fields, rest)), {(f, t): next(found) or 0 for f in fields for t in terms})
 
-    def matches(self, terms: list[str], field: str) -> DataFrame:
-        """id, term, tf, dl of ``terms`` in one field; only rows with a match leave the scan."""
-        wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-        rows = self.tokens.where(F.arrays_overlap(field, wanted))
-        hits = F.transform(F.array_intersect(wanted, F.col(field)), lambda t: F.struct(t.alias("term"), F.size(F.filter(field, lambda x: x == t)).alias("tf")))
-        return rows.select(*HEADER, F.size(field).alias("dl"), F.inline(hits))
+    def frequencies(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
+        """Header, dl_<field> and tf_<field>_<i> of the documents that hold any of the terms."""
+        wanted = F.array(*map(F.lit, terms))
+        some = reduce(lambda a, b: a | b, [F.arrays_overlap(f, wanted) for f in fields])
+        times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
+        return self.tokens.where(some).select(*HEADER, *[F.size(f).alias(f"dl_{f}") for f in fields], *[times(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
 
     def postings(self) -> DataFrame:
-        """term, field, id, tf, dl of the whole corpus, for storing."""
+        """bucket, term, field, id, tf, dl of the whole corpus, for storing."""
         fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in FIELDS])
         rows = self.tokens.select("id", F.inline(fields)).select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        return rows.groupBy("term", "field", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        return rows.groupBy("term", "field", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("bucket", _bucket("term"))
+
+    def store(self, folder: str) -> StoredIndex:
+        """Postings by bucket of the term, headers with lengths, and the statistics."""
+        self.postings().repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
+        self.tokens.select(*HEADER, *[F.size(f).alias(f"dl_{f}") for f in FIELDS]).write.mode("overwrite").parquet(f"{folder}/headers")
+        return StoredIndex(self.tokens.sparkSession, folder)
+
+
+class StoredIndex:
+    """An index read from a folder that ``TextIndex.store`` wrote; searched like a ``TextIndex``."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._postings, self.headers = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/headers")
+
+    def _matching(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
+        spark = self.headers.sparkSession
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term")).distinct().collect()]
+        return self._postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms) & F.col("field").isin(list(fields)))
+
+    def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
+        n, *means = self.headers.agg(F.count(F.lit(1)), *[F.avg(f"dl_{f}") for f in fields]).first()
+        df = {(r["field"], r["term"]): r["n"] for r in self._matching(terms, fields).groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return Profile(n, dict(zip(fields, means)), {(f, t): df.get((f, t), 0) for f in fields for t in terms})
+
+    def frequencies(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
+        tf = lambda f, t: F.coalesce(F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("tf"))), F.lit(0))
+        found = self._matching(terms, fields).groupBy("id").agg(*[tf(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
+        return self.headers.join(found, "id").select(*HEADER, *[f"dl_{f}" for f in fields], *[f"tf_{f}_{i}" for f in fields for i in range(len(terms))])
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Documents, mean lengths by field, and documents that hold a term by (field, term)."""
+
+    n: int
+    mean: dict[str, float]
+    df: dict[tuple[str, str], int]
+
+
+def _bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def text_filter(namespace: str | None = None, scopes: list[str] | None = None, kinds: list[str] | None = None, tags: list[str] | None = None, note_ids: list[int] | None = None) -> Column:
@@ -64,50 +111,47 @@ def text_filter(namespace: str | None = None, scopes: list[str] | None = None, k
     return keep
 
 
-def bm25(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+def bm25(tf: Column, dl: Column, df: int, n: int, mean: float) -> Column:
+    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+    return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-def _scored(index: TextIndex, terms: list[str], field: str) -> DataFrame:
-    """id, header, distinct terms matched, score: a sum over the terms found in the field (or in text and name)."""
-    fields = ("text", "name") if field == "all" else (field,)
-    parts = None
-    for f in fields:
-        found = index.matches(terms, f)
-        frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        # Terms of a query and one row of statistics: a few rows, broadcast by size.
-        stats = index.statistics().select("n", F.col(f"mean_{f}").alias("mean"))
-        weighed = found.join(F.broadcast(frequency), "term").withColumns({"n": stats.select("n").scalar(), "mean": stats.select("mean").scalar()})
-        boost = 1 + NAME_BOOST if field == "all" and f == "name" else 1.0
-        score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("mean")) * boost
-        part = weighed.select(*HEADER, "term", score.alias("score"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("id").agg(
-        F.countDistinct("term").alias("matched"), F.sum("score").alias("score"), *[F.any_value(h).alias(h) for h in HEADER[1:]],
-    )
-
-
-def search(index: TextIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
-    """id, strict, score of the best ``limit`` documents.
-
-    Documents that hold every strict term come first; the rest need any loose term. Filters cannot make a document match.
-    ``mode`` restricts to the ``strict`` or ``loose`` pass.
+def search(index: TextIndex | StoredIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
+    """id, note_id, strict, score of the best ``limit`` documents.
+
+    Documents that hold every strict term in text or name come first, scored by the strict terms; the rest need any loose
+    term and are scored by those. Filters cannot make a document match. ``mode`` restricts to one pass.
     """
     strict, loose = T.query_terms(query, True), T.query_terms(query, False)
-    keep = F.lit(True) if where is None else where
-    parts = []
-    if mode != "loose":
-        parts.append(_scored(index, strict, field).where(keep & (F.col("matched") == len(strict)) & F.lit(bool(strict))).select("id", "note_id", F.lit(1).alias("strict"), "score"))
-    if mode != "strict":
-        parts.append(_scored(index, loose, field).where(keep).select("id", "note_id", F.lit(0).alias("strict"), "score"))
-    rows = parts[0]
-    if len(parts) == 2:
-        best = F.max(F.struct("strict", "score")).alias("best")
-        rows = rows.unionByName(parts[1]).groupBy("id", "note_id").agg(best).select("id", "note_id", "best.*")
+    fields = ("text", "name") if field == "all" else (field,)
+    terms = list(dict.fromkeys([*strict, *loose]))
+    if not terms:
+        return index_session(index).createDataFrame([], "id long, note_id long, strict int, score double")
+    profile = index.profile(terms, fields)
+    rows = index.frequencies(terms, fields)
+    rows = rows if where is None else rows.where(where)
+    tf = lambda f, t: F.col(f"tf_{f}_{terms.index(t)}")
+
+    def score(of: list[str]) -> Column:
+        parts = [F.lit(0.0)]
+        for f in fields:
+            boost = 1 + NAME_BOOST if field == "all" and f == "name" else 1.0
+            parts += [bm25(tf(f, t), F.col(f"dl_{f}"), profile.df[f, t], profile.n, profile.mean[f] or 1.0) * boost for t in of if profile.df[f, t]]
+        return reduce(lambda a, b: a + b, parts)
+
+    has = lambda t: reduce(lambda a, b: a | b, [tf(f, t) > 0 for f in fields])
+    everything = reduce(lambda a, b: a & b, [has(t) for t in strict], F.lit(bool(strict)))
+    anything = reduce(lambda a, b: a | b, [has(t) for t in loose], F.lit(False))
+    keep = {"strict": everything, "loose": anything, "both": everything | anything}[mode]
+    first = F.lit(False) if mode == "loose" else everything
+    rows = rows.where(keep).select("id", "note_id", first.cast("int").alias("strict"), F.when(first, score(strict)).otherwise(score(loose)).alias("score"))
     return rows.orderBy(F.desc("strict"), F.desc(F.round("score", 9)), "id").limit(limit)
 
 
+def index_session(index: TextIndex | StoredIndex) -> SparkSession:
+    return (index.tokens if isinstance(index, TextIndex) else index.headers).sparkSession
+
+
 def note_counts(index: TextIndex, query: str, notes: DataFrame, where: Column | None = None) -> DataFrame:
     """note_id, chunks: how many chunks of each given note hold any loose term of the unexpanded query."""
     terms = T.query_terms(query, False)

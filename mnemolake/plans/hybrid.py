@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import text as T
 from mnemolake.operators import fulltext, fusion, vectorsearch
+from mnemolake.operators.materialize import settle
 from mnemolake.operators.reads import check_limit
 
 
@@ -48,7 +49,8 @@ class HybridSearch:
 
             expanded = expand_query(query, self.synonyms) if self.synonyms else query
             hits = fulltext.search(self.index, expanded, window, match_field, where)
-            text_hits = fulltext.ranked(hits, F.desc("strict"), F.desc(F.round("score", 9)), "id")
+            # At most 10,000 rows, read several times below.
+            text_hits = settle(fulltext.ranked(hits, F.desc("strict"), F.desc(F.round("score", 9)), "id"))
             notes.text_used = True
         if vector is None and self.embed is not None:
             try:
@@ -57,7 +59,7 @@ class HybridSearch:
                 notes.degraded.append(f"embedding failed: {error}")
         if vector is not None and self.vectors is not None:
             hits = vectorsearch.top_k(self.vectors, vector, window, where, allow)
-            vector_hits = fulltext.ranked(hits, F.desc(F.round("score", 9)), "id")
+            vector_hits = settle(fulltext.ranked(hits, F.desc(F.round("score", 9)), "id"))
             notes.vector_used = True
         return text_hits, vector_hits, notes
 
@@ -79,6 +81,7 @@ class HybridSearch:
             order = fusion.alternate(left, right).join(fused, "id")
         headers = self.index.tokens.select("id", "note_id")
         placed = order.select("id", "position", "score").join(headers, "id", "left")
+        placed = settle(placed)
         folded = fusion.fold(placed.select("id", "note_id", "position"), top_chunks).join(placed.select("id", "score"), "id")
         if self.rerank is not None and documents is not None:
             folded = self._reranked(query, folded, documents, notes)
