@@ -9,7 +9,7 @@ from mnemolake.catalogue.registry import clean_sql, query, tokens_sql, trim_sql,
 from mnemolake.functions import text as T
 from mnemolake.operators import fusion
 from mnemolake.sources.chunking import caller_chunks, chunk_notes
-from mnemolake.sources.projection import Store
+from mnemolake.sources.projection import Store, spread
 
 
 @query(f"""SELECT doc_id, sha256(lower({trim_sql('text')})) AS normal, len(lower({trim_sql('text')})) AS n FROM documents""")
@@ -46,7 +46,7 @@ def clean_markdown_pages(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, d)
 
     def cleaned(name: str, kind: str, key: str, text: str) -> DataFrame:
-        rows = store.table(name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), T.clean_markdown(text).alias("t"))
+        rows = spread(store.table(name)).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), T.clean_markdown(text).alias("t"))
         return rows.select("kind", "id", T.digest("t").alias("cleaned"), F.length("t").cast("long").alias("n"))
 
     return cleaned("pages", "page", "page_id", "html").union(cleaned("documents", "document", "doc_id", "text"))

@@ -11,6 +11,7 @@ _CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0
 CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _CJK_RANGES)
 _FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _FOLDED = {"　": " ", "‘": "'", "’": "'", "“": '"', "”": '"', **_FULL_WIDTH}
+_WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Capital sigma is folded first: lower-casing must not depend on where in a word it stands.
 _TRANSLATED = {**_FOLDED, "Σ": "σ"}
 
@@ -30,7 +31,13 @@ def trim_unicode(text: Column | str) -> Column:
 
 def normalize_text(text: Column | str) -> Column:
     """Trimmed, full width and curly quotes folded, lower case."""
-    return F.lower(F.translate(trim_unicode(text), "".join(_TRANSLATED), "".join(_TRANSLATED.values())))
+    text = _c(text)
+    folded = F.translate(trim_unicode(text), "".join(_TRANSLATED), "".join(_TRANSLATED.values()))
+    return F.when(_is_ascii(text), F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(F.lower(folded))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def normalized_tag(text: Column | str) -> Column:
@@ -51,8 +58,13 @@ def tokenize(text: Column | str) -> Column:
         pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
         return F.when(run.rlike(f"^[{CJK}]"), F.when(F.size(chars) > 1, F.concat(chars, pairs)).otherwise(chars)).otherwise(F.array(run))
 
-    runs = F.regexp_extract_all(normalize_text(text), F.lit(rf"[{CJK}]+|[\p{{IsAlphabetic}}\p{{N}}_&&[^{CJK}]]+"), F.lit(0))
-    return let(runs, lambda r: F.when(F.exists(r, lambda w: w.rlike(f"^[{CJK}]")), F.flatten(F.transform(r, parts))).otherwise(r))
+    mixed = F.lit(rf"[{CJK}]+|[\p{{IsAlphabetic}}\p{{N}}_&&[^{CJK}]]+")
+    plain, ascii_words = F.lit(r"[\p{IsAlphabetic}\p{N}_]+"), F.lit("[a-z0-9_]+")
+    words = lambda t, pattern: F.regexp_extract_all(t, pattern, F.lit(0))
+    return let(
+        normalize_text(text),
+        lambda t: F.when(_is_ascii(t), words(t, ascii_words)).when(t.rlike(f"[{CJK}]"), F.flatten(F.transform(words(t, mixed), parts))).otherwise(words(t, plain)),
+    )
 
 
 def count_tokens(text: Column | str) -> Column:
@@ -149,7 +161,7 @@ def is_cjk(char: str) -> bool:
 
 
 def normalize_query(text: str) -> str:
-    return "".join(_FOLDED.get(c, c).lower() for c in text.strip())
+    return "".join(_FOLDED.get(c, c).lower() for c in text.strip(_WHITE_SPACE))
 
 
 def tokenize_query(text: str) -> list[str]:

@@ -33,19 +33,24 @@ class TextIndex:
     def build(cls, documents: DataFrame) -> TextIndex:
         return cls(documents.select(*HEADER, *[T.tokenize(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS]))
 
+    def _counted(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
+        """Header, dl_<field> and tf_<field>_<i> of every document. The generator keeps tokens from being made per term."""
+        times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
+        lengths = [F.size(f).alias(f"dl_{f}") for f in fields]
+        counts = [times(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)]
+        return self.tokens.select(*HEADER, F.inline(F.array(F.struct(*lengths, *counts))))
+
     def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
         """Statistics over all documents, whatever a search filters, and the terms' frequencies: one row."""
-        sums = [F.avg(F.size(f)) for f in fields] + [F.sum(F.array_contains(f, t).cast("long")) for f in fields for t in terms]
-        n, *rest = self.tokens.agg(F.count(F.lit(1)), *sums).first()
+        sums = [F.avg(f"dl_{f}") for f in fields] + [F.count_if(F.col(f"tf_{f}_{i}") > 0) for f in fields for i in range(len(terms))]
+        n, *rest = self._counted(terms, fields).agg(F.count(F.lit(1)), *sums).first()
         found = iter(rest[len(fields) :])
-        return Profile(n, dict(zip(fields, rest)), {(f, t): next(found) or 0 for f in fields for t in terms})
+        return Profile(n, dict(zip(fields, rest)), {(f, t): next(found) for f in fields for t in terms})
 
     def frequencies(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
-        """Header, dl_<field> and tf_<field>_<i> of the documents that hold any of the terms."""
-        wanted = F.array(*map(F.lit, terms))
-        some = reduce(lambda a, b: a | b, [F.arrays_overlap(f, wanted) for f in fields])
-        times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
-        return self.tokens.where(some).select(*HEADER, *[F.size(f).alias(f"dl_{f}") for f in fields], *[times(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
+        """The counts of the documents that hold any of the terms."""
+        some = [F.col(f"tf_{f}_{i}") > 0 for f in fields for i in range(len(terms))]
+        return self._counted(terms, fields).where(reduce(lambda a, b: a | b, some))
 
     def postings(self) -> DataFrame:
         """bucket, term, field, id, tf, dl of the whole corpus, for storing."""

@@ -23,6 +23,12 @@ def entity_id(kind: str, key: Column | str) -> Column:
     return (F.col(key) if isinstance(key, str) else key).cast("long") + ENTITY_BASE[kind]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table's few files would keep most of them idle; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -101,7 +107,7 @@ class Store:
         """id, namespace, scope, path, title, tags, content."""
         path = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")))
         labels = self.table("labels").select("doc_id", "quality", "toxic")
-        rows = self.table("documents").join(labels, "doc_id", "left")
+        rows = spread(self.table("documents")).join(labels, "doc_id", "left")
         marks = F.array(
             F.when(F.col("quality").isNotNull(), F.concat(F.lit("quality:"), F.col("quality").cast("string"))),
             F.when(F.col("toxic").isNotNull(), F.concat(F.lit("toxic:"), F.col("toxic").cast("string"))),
