@@ -34,8 +34,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     led to it is garbage by then; collecting it lets Spark delete the shuffle files of finished steps at once.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    collect = df.sparkSession.sparkContext._jvm.System.gc
+    collect()
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    collect()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -185,7 +185,7 @@ def _fetch(window: int):
             for i, text in enumerate(texts(batch, 2)):
                 words = word_hashes(text)
                 for w in batch.column(3)[i].as_py():
-                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["anchor"], w["first"], w["times"], words[w["first"] : w["first"] + w["windows"] + window - 1].tobytes()))
+                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["anchor"], w["kinds"], w["first"], w["times"], words[w["first"] : w["first"] + w["windows"] + window - 1].tobytes()))
                 if len(out) > 20_000:
                     yield _rows(out)
                     out = []
@@ -196,8 +196,8 @@ def _fetch(window: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    names = ("doc_id", "text_key", "anchor", "first", "times", "words")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = ("doc_id", "text_key", "anchor", "kinds", "first", "times", "words")
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
@@ -314,22 +314,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     shards = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = kinds.join(shards, "anchor").select("anchor", "kinds", F.least("times", F.lit(2)).alias("times"), "one.*")
-    asked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "windows", "times")).alias("asked"))
-    fetched = _to_docs(source, asked, "inner", "asked").mapInArrow(_fetch(window), f"{key}, anchor long, first int, times long, words binary")
+    asked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "kinds", "first", "windows", "times")).alias("asked"))
+    fetched = _to_docs(source, asked, "inner", "asked").mapInArrow(_fetch(window), f"{key}, anchor long, kinds long, first int, times long, words binary")
+    # A repeated row is fetched twice; its segments occur twice as they are, so that changes no answer.
     fetched = cut(fetched, "sub-shards")
-    # A repeated row is one key twice: its segments occur twice, and it is fetched twice.
-    fetched = fetched.dropDuplicates(["doc_id", "text_key", "anchor", "first"])
-    large = shards.where(F.col("kinds") > shard_segments).select("anchor")
     spans = f"{key}, low int, high int"
-    small = fetched.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    small = fetched.where(F.col("kinds") <= shard_segments).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
     matched = small.mapInArrow(_match(window), spans)
-    # Only hashes are shuffled, with partial counts first.
-    spread = fetched.join(large, "anchor", "left_semi").mapInArrow(_spread(window), f"{key}, low int, times long, h1 long, h2 long")
+    # Of large shards only hashes of windows are shuffled, with partial counts first.
+    spread = fetched.where(F.col("kinds") > shard_segments).mapInArrow(_spread(window), f"{key}, low int, times long, h1 long, h2 long")
     repeated = spread.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
     counted = spread.join(repeated, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "low", (F.col("low") + F.lit(window)).alias("high"))
 
     ranges = whole.unionByName(matched).unionByName(counted)
-    marked = ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    marked = cut(ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "sub-ranges")
+    for done in (live, kinds, fetched):
+        discard(done)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
     return _to_docs(source, marked, "left", "ranges").mapInArrow(_clean(with_text), out)
 
