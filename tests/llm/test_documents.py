@@ -277,6 +277,24 @@ def test_license_scan(spark, docs):
     assert rows == {(0, "Apache-2.0"), (1, "Apache-2.0"), (2, "GPL-3.0"), (3, "ISC")}
 
 
+def test_license_scan_wrapped_notices(spark):
+    import textwrap
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    read = lambda name, width: textwrap.fill((folder / f"{name}.txt").read_text(), width)
+    around = "unrelated words before\nand more of them here\n{}\nother words after it\nand an end"
+    names = ["MIT__full", "BSD-2-Clause__full", "BSD-3-Clause__full", "Apache-2.0__header", "Apache-2.0__full", "GPL-2.0__header", "GPL-3.0__header", "GPL-2.0__full", "LGPL-3.0__header", "ISC__full"]
+    texts = [(i, around.format(read(name, 60)) if i % 2 else "Copyright (c) 2020 Some One\n\n" + read(name, 70)) for i, name in enumerate(names)]
+    texts += [(100, "some line\n# This file is licensed under the Apache\n# License, Version 2.0.\nother"), (101, " ".join(f"w{i}" for i in range(300)) + " " + read("MIT__full", 10**6) + " the end " * 3)]
+    texts += [(102, read("MIT__full", 50)[:150] + "\n" + " ".join(f"v{i}" for i in range(200))), (103, "Released under the MIT License.\nLicensed under the MIT License.")]
+    found = collections.Counter((r.doc_id, r.line_no, r.license) for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect() if r.dice >= 0.8)
+    notices = {(d, name) for d, _, name in found}
+    assert {(i, name.split("__")[0]) for i, name in enumerate(names)} <= notices
+    assert all((i, 2, name.split("__")[0]) in found for i, name in enumerate(names) if name not in ("Apache-2.0__full", "GPL-2.0__full"))
+    assert {k: n for k, n in found.items() if k[0] >= 100} == {(100, 1, "Apache-2.0"): 1, (101, 0, "MIT"): 1, (103, 0, "MIT"): 1, (103, 1, "MIT"): 1, (103, -1, "MIT"): 1}
+
+
 def test_levenshtein_matcher():
     m = toxicity.Matcher(["vequ"], ["idiot", "scum"])
     near = lambda a, b: a == b or (abs(len(a) - len(b)) <= 1 and any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))))
