@@ -74,22 +74,23 @@ def ego(edges: DataFrame, root: int, depth: int, limit: int | None = None) -> Da
     return found if limit is None else found.limit(limit)
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
     """position, id along a path with fewest edges, smallest parents first; no rows if there is none."""
     spark, out = edges.sparkSession, edges.select("src", "dst")
     if start == end:
         return spark.createDataFrame([(0, start)], "position long, id long")
     seen = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop"))
-    frontier, found = seen, False
-    for hop in range(1, most + 1):
+    frontier, found, hop = seen, False, 0
+    while not found:
+        hop += 1
         step = out.join(frontier.select("id"), out["src"] == F.col("id")).groupBy("dst").agg(F.min("src").alias("parent"))
         step = step.select(F.col("dst").alias("id"), "parent", F.lit(hop).alias("hop")).join(seen.select("id"), "id", "left_anti")
         frontier = settle(step)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        if found := not frontier.where(F.col("id") == end).isEmpty():
-            break
+        # One table now and then in place of a union of every hop.
+        seen = seen.unionByName(frontier) if hop % 16 else settle(seen.unionByName(frontier))
+        found = not frontier.where(F.col("id") == end).isEmpty()
     if not found:
         return spark.createDataFrame([], "position long, id long")
     path, at = [end], end

@@ -27,6 +27,11 @@ def test_basics(spark, edges):
     assert graph.ego(chain, 99, 2).count() == 0
 
 
+def test_path_of_many_hops(spark, edges):
+    chain = edges([(i, "r", i + 1) for i in range(70)])
+    assert [r.id for r in graph.shortest_path(chain, 0, 70).orderBy("position").collect()] == list(range(71))
+
+
 def test_rules_open_reverse_traversal(spark, edges):
     family = edges([(1, "father", 2), (3, "colleague", 4)])
     assert graph.ego(family, 2, 1).count() == 0
