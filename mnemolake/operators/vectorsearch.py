@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import vectors as V
+from mnemolake.operators.materialize import settle
+
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 1000
 
 
 def _literal(query: list[float]) -> Column:
@@ -25,14 +31,22 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
 
 
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank for a small table of queries (query_id, query), checked and broadcast."""
-    n = queries.count()
-    if n > 1000:
-        raise ValueError("give at most 1000 queries at once")
-    pairs = vectors.join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select("query_id", "id", V.clamp_unit(V.dot("vector", "query")).alias("score"))
+    """query_id, id, score, rank for a table of queries (query_id, query), broadcast in blocks of about ``QUERY_BLOCK`` by hash.
+
+    Every block meets all vectors, so the best of its queries are final, and blocks are only put together.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(block), F.lit(True))
+        scored = pairs.select("query_id", "id", V.clamp_unit(V.dot("vector", "query")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(queries)
+    found = [settle(best(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))) for b in range(blocks)]
+    return reduce(DataFrame.union, found)
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
