@@ -33,7 +33,7 @@ MOST_TERMS = 4096
 CONTEXT = 6
 #: How many times more often, by document, a term stands in toxic rows than in others.
 PURITY = 20
-#: Share of the toxic rows that a term must stand in.
+#: Share of the distinct toxic texts that a term must stand in.
 LEAST_SHARE = 0.01
 FITTING_TASKS = 24
 CACHE_WORDS = 400_000
@@ -268,6 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, **names:
 
     # Copies of one text would lend its chance words weight: a text counts once among those that share a smallest shingle.
     distinct = rows.withColumn("likeness", _smallest_shingle(F.col("text"))).dropDuplicates(["likeness", "toxic"])
+    # Shares and purity are of the texts that the counts are of.
+    n1, n0 = distinct.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic = counted(1, max(3, round(LEAST_SHARE * n1)))  # bounded by the training rows
     clean = counted(0, 1, spark.sparkContext.broadcast(frozenset(toxic)))
     stems, words = choose_terms([(t, n, clean.get(t, 0)) for t, n in toxic.items() if n * n0 > PURITY * (clean.get(t, 0) + 0.5) * n1])

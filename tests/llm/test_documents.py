@@ -304,6 +304,15 @@ def test_levenshtein_matcher():
         assert m.word(word) == (1 if exact else 2 if fuzzy else 0), word
 
 
+def test_toxicity_with_a_hot_group_of_copies(spark):
+    copies = [(i, "one and the same copied text is here", 1) for i in range(1500)]
+    toxic = [(10_000 + i, f"unlike{i} words{i * 3} here{i * 5} badterm and filler{i}", 1) for i in range(12)]
+    clean = [(20_000 + i, f"unlike{i} fine{i * 3} here{i * 5} nothing and filler{i}", 0) for i in range(1500)]
+    frame = spark.createDataFrame(copies + toxic + clean, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert any("badterm".startswith(t) for t in model.stems + model.words)
+
+
 def test_toxicity(spark, docs):
     toxic = [(1000 + i, f"clean words here badterm{'abc'[i % 3]} and filler{i} number{i * 7}", "en", "s0") for i in range(60)]
     clean = [(2000 + i, f"clean words here nothing and filler{i} number{i * 7}", "en", "s0") for i in range(120)]
