@@ -13,6 +13,9 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 #: Java and RE2 spelling of one word: a run of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _fallback: dict[str, str] = {}
 
 
@@ -30,15 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back.
 
-    The result has no lineage, survives lost executors, and carries real size statistics for later join planning. What
-    led to it is garbage by then; collecting it lets Spark delete the shuffle files of finished steps at once.
+    The result has no lineage, survives lost executors, and carries real size statistics for later join planning. Shuffle
+    files of the write are deleted as soon as it has ended.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    collect = df.sparkSession.sparkContext._jvm.System.gc
-    collect()
-    df.write.parquet(path)
-    collect()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
