@@ -11,6 +11,7 @@ which comes from counts per partition; no document is sorted or gathered anywher
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +40,9 @@ class WordTokenizer:
 
     For a tokenizer that drops white space, splits letters from everything else and never merges across a split, the ids
     of a text are those of its words in turn, and those of a word before a full stop or comma are the word's and then the
-    mark's (``tests/llm`` compares both with the tokenizer itself). Words of plain Latin letters go straight to the
-    vocabulary's merges; everything else takes the tokenizer's own way.
+    mark's, where the word ends in a Latin letter that normalisation leaves a letter (``tests/llm`` compares every letter
+    with the tokenizer itself). Words of plain Latin letters go straight to the vocabulary's merges; everything else takes
+    the tokenizer's own way, as do all texts where the tokenizer's file is not made of these very parts.
     """
 
     _known: dict[str, WordTokenizer] = {}
@@ -49,6 +51,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = _parts(json.loads(self.tokenizer.to_str())) == _PARTS
         self.model = self.tokenizer.model
         self.half = cache_words // 2
         # Two generations: what the younger lacks is taken over from the older, which is dropped when the younger is full.
@@ -69,7 +72,7 @@ class WordTokenizer:
     def _learn(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if word[-1] in ".," and len(word) > 1 and word[-2].isalnum():
+            if word[-1] in ".," and len(word) > 1 and word[-2].isalnum() and word[-2] < "\u0250" and word[-2] != "\u0130":
                 found = (self.young.get(word[:-1]) or self._learn(word[:-1])) + self.marks[word[-1]]
             elif word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
                 low = word.lower()
@@ -85,6 +88,8 @@ class WordTokenizer:
         return found
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.frombuffer(self._whole(text), "<u4")
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
         if len(self.young) > self.half:
             self.old, self.young = self.young, {"": b""}
@@ -92,6 +97,29 @@ class WordTokenizer:
         return np.frombuffer(b"".join([w if (w := known(word)) is not None else learn(word) for word in words]), "<u4")
 
 
+def _parts(described: dict) -> dict:
+    """What of a tokenizer's file decides whether words can be taken one by one."""
+    normalizer, splitter, model = (described.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    return {
+        "normalizers": [(n.get("type"), n.get("pattern"), n.get("content")) for n in normalizer.get("normalizers", [])],
+        "splits": [(p.get("type"), p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in splitter.get("pretokenizers", [])],
+        "model": [model.get(k) for k in ("type", "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")],
+        "added": sorted((t.get("content"), bool(t.get("normalized"))) for t in described.get("added_tokens", [])),
+    }
+
+
+#: NFC, white space to a space, lower case; letters, single digits and other signs apart; byte-level BPE with word ends.
+_PARTS = {
+    "normalizers": [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)],
+    "splits": [
+        ("Split", {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "Removed", True, None, None),
+        ("ByteLevel", None, None, None, False, False),
+    ],
+    "model": ["BPE", None, None, None, "</w>", False, False, False],
+    "added": [("<|endoftext|>", False), ("<|startoftext|>", False)],
+}
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
