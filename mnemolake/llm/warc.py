@@ -9,25 +9,27 @@ derive from the response's id, so reruns agree.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
-_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|hr|main|aside|form|dd|dt|dl|body)\b[^>]*>", re.I)
-_TAG = re.compile(r"<!?/?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre hr main aside form dd dt dl body".split())
+#: Elements whose content is not text; what stands in a head is skipped up to the first tag that cannot stand there.
+_SKIPPED = frozenset(("script", "style", "noscript", "template"))
+_IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template object".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 
 
@@ -40,7 +42,7 @@ class Record:
         return next((v for k, v in self.headers if k.lower() == name.lower()), None)
 
     def to_bytes(self) -> bytes:
-        head = "".join(f"{k}: {v}\r\n" for k, v in self.headers).encode()
+        head = "".join(f"{k}: {v}\r\n" for k, v in self.headers).encode("utf-8", "replace")
         return VERSION + b"\r\n" + head + b"\r\n" + self.block + b"\r\n\r\n"
 
 
@@ -53,37 +55,193 @@ def record(kind: str, record_id: str, block: bytes, content_type: str, extra: li
     return Record([(k, " ".join(v.split())) for k, v in head], block)
 
 
+def members(data: bytes) -> bytes:
+    """The plain bytes of a file of gzip members, each of a record as a rule; other bytes as they are.
+
+    A torn or broken member ends the file with what came out of it.
+    """
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        try:
+            out.append(unpack.decompress(data))
+            out.append(unpack.flush())
+        except zlib.error:
+            break
+        data = unpack.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[Record]:
-    """Records of an uncompressed WARC file; a torn last record is left out."""
-    at = 0
+    """Records of a WARC file, plain or gzipped; a torn last record is left out.
+
+    A record without a length that is a number cannot be parted from the next: it is left out, and reading goes on at the
+    next line that begins a record.
+    """
+    data, at = members(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines)]
-        length = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length:
+        length = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if not (length.isascii() and length.isdigit()):
+            at = data.find(b"\nWARC/", end)
+            if at < 0:
+                return
+            at += 1
+            continue
+        block = data[end + 4 : end + 4 + int(length)]
+        if len(block) < int(length):
             return
         yield Record(headers, block)
-        at = end + 4 + length
+        at = end + 4 + int(length)
 
 
 def response(page_id: int | None, url: str | None, body: str | None, date: str) -> Record:
-    """The response record that a fetched page stands for."""
-    payload = (body or "").encode()
+    """The response record that a fetched page stands for; its id derives from the page's id, address and content."""
+    payload = (body or "").encode("utf-8", "replace")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url or ''}")
-    return record("response", f"<urn:uuid:{name}>", block, "application/http; msgtype=response", [("WARC-Target-URI", url or ""), ("WARC-Date", date), ("WARC-Payload-Digest", digest(payload))])
+    marked = digest(payload)
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url or ''} {marked}")
+    return record("response", f"<urn:uuid:{name}>", block, "application/http; msgtype=response", [("WARC-Target-URI", url or ""), ("WARC-Date", date), ("WARC-Payload-Digest", marked)])
+
+
+@dataclass
+class Page:
+    """What one pass over a page's markup gives."""
+
+    text: str = ""
+    title: str = ""
+    language: str = ""
+    links: list[str] = field(default_factory=list)
+
+
+def scan(body: str) -> Page:
+    """Reads a page once from left to right, in time linear in its length.
+
+    Comments, scripts, styles, templates and heads are no text; a tag without its end is text; block tags part lines. A
+    head that is not closed ends at the first tag that cannot stand in one.
+    """
+    page, parts, at, n = Page(), [], 0, len(body)
+    in_head, no_end = False, False
+    lowered = None
+    titled: int | None = None
+    while at < n:
+        opened = body.find("<", at)
+        if opened < 0:
+            opened = n
+        if opened > at and not in_head:
+            parts.append(body[at:opened])
+        if opened == n:
+            break
+        if body.startswith("<!--", opened):
+            closed = body.find("-->", opened + 4)
+            at = n if closed < 0 else closed + 3
+            if not in_head:
+                parts.append(" ")
+            continue
+        head = body[opened + 1 : opened + 2]
+        named = _NAME.match(body, opened + 1)
+        closed = -1 if no_end or not (named or head in ("!", "?")) else body.find(">", opened + 1)
+        if closed < 0:  # no tag: a sign like any other
+            no_end |= bool(named) or head in ("!", "?")
+            if not in_head:
+                parts.append("<")
+            at = opened + 1
+            continue
+        at = closed + 1
+        if not named:
+            continue
+        name, closing = named[1].lower(), head == "/"
+        tag = body[named.end() : closed]
+        if in_head and (name == "head" if closing else name not in _IN_HEAD):
+            in_head = False
+        if closing:
+            if name in _BREAKS and not in_head:
+                parts.append("\n")
+            continue
+        if name == "a" and "href" in tag.lower():
+            href = next((v for k, *v in _ATTRIBUTE.findall(tag) if k.lower() == "href" and any(v)), None)
+            if href:
+                page.links.append(html.unescape("".join(href)))
+        elif name == "html" and not page.language:
+            page.language = next(("".join(v) for k, *v in _ATTRIBUTE.findall(tag) if k.lower() == "lang"), "")
+        elif name == "head":
+            in_head = True
+            parts.append(" ")
+        elif name in _SKIPPED or name == "title":
+            if lowered is None:
+                lowered = _ascii_lower(body)
+            end = lowered.find("</" + name, at)
+            if name == "title" and not page.title:
+                page.title = html.unescape(body[at : n if end < 0 else end])
+            if name in _SKIPPED or in_head:
+                stop = n if end < 0 else lowered.find(">", end)
+                at = n if stop < 0 else stop + (end >= 0)
+                if not in_head:
+                    parts.append(" ")
+        elif name in _BREAKS and not in_head:
+            parts.append("\n")
+    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
+    page.text = "\n".join(line for line in lines if line)
+    return page
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _ascii_lower(text: str) -> str:
+    """A-Z lower-cased alone, so that places stay the same."""
+    return text.translate(_LOWER)
 
 
 def plain_text(body: str) -> str:
     """The visible text of a page, a line per block."""
-    text = _SKIPPED.sub(" ", body)
-    text = _TAG.sub("", _BREAKS.sub("\n", text))
-    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return scan(body).text
+
+
+def _decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without chunks and compression; bytes that do not hold what the headers say stay as they are."""
+    said = lambda name: next((v.lower() for k, v in headers if k.lower() == name), "")
+    if "chunked" in said("transfer-encoding"):
+        out, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            size = payload[at:end].split(b";")[0].strip()
+            try:
+                n = int(size, 16)
+            except ValueError:
+                out = [payload] if not out else [*out, payload[at:]]
+                break
+            if n <= 0:
+                break
+            out.append(payload[end + 2 : end + 2 + n])
+            at = end + 2 + n + 2
+        else:
+            out = out or [payload]
+        payload = b"".join(out)
+    for coding in reversed([c.strip() for c in said("content-encoding").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            unpack = zlib.decompressobj(bits)
+            try:
+                payload = unpack.decompress(payload) + unpack.flush()
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
+def _text(payload: bytes, charset: str) -> tuple[str, str]:
+    """(charset, text); an unknown or unfit charset counts as UTF-8."""
+    try:
+        if codecs.lookup(charset)._is_text_encoding:
+            return charset, payload.decode(charset, "replace")
+    except (LookupError, ValueError):  # of the latter are all errors of Unicode
+        pass
+    return "utf-8", payload.decode("utf-8", "replace")
 
 
 def derive(source: Record) -> tuple[Record, Record] | None:
@@ -94,21 +252,19 @@ def derive(source: Record) -> tuple[Record, Record] | None:
     status, *http = head.decode("latin-1").split("\r\n")
     http_headers = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in http) if k]
     content_type = next((v for k, v in http_headers if k.lower() == "content-type"), "")
-    charset = (_CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("latin-1")) or [None, "utf-8"])[1]
-    try:
-        body = payload.decode(charset, "replace")
-    except LookupError:
-        charset, body = "utf-8", payload.decode("utf-8", "replace")
-    source_id, uri, date = (source.get(n) or "" for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     payload_digest = source.get("WARC-Payload-Digest") or digest(payload)
+    plain = _decoded(payload, http_headers)
+    charset = (_CHARSET.search(content_type) or _CHARSET.search(plain[:1024].decode("latin-1")) or [None, "utf-8"])[1]
+    charset, body = _text(plain, charset)
+    page = scan(body)
+    source_id, uri, date = (source.get(n) or "" for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     linked = [("WARC-Refers-To", source_id), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("WARC-Date", date)]
-    title, lang = _TITLE.search(body), _LANG.search(body)
     fields = [
         ("sourceStatus", status), *((f"sourceHeader-{k}", v) for k, v in http_headers), ("sourcePayloadDigest", payload_digest), ("sourceBlockDigest", source.get("WARC-Block-Digest") or digest(source.block)),
-        ("charset", charset), ("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), *(("outlink", html.unescape(m.strip("\"'"))) for m in _LINK.findall(body)),
+        ("charset", charset), ("title", page.title), ("language", page.language), *(("outlink", link) for link in page.links),
     ]
-    listed = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
-    text = plain_text(body).encode()
+    listed = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode("utf-8", "replace")
+    text = page.text.encode("utf-8", "replace")
     named = lambda kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source_id}')}>"
     metadata = record("metadata", named("metadata"), listed, "application/warc-fields", linked)
     conversion = record("conversion", named("conversion"), text, "text/plain; charset=utf-8", [*linked, ("WARC-Source-Payload-Digest", payload_digest)])
@@ -117,6 +273,8 @@ def derive(source: Record) -> tuple[Record, Record] | None:
 
 _COLUMNS = ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_payload_digest", "block_digest")
 SCHEMA = "key long, " + ", ".join(f"{c} string" for c in _COLUMNS) + ", content_length long, block string, record binary"
+#: Bytes of records that a task holds before it passes them on.
+_HELD = 8 << 20
 
 
 def _row(source: Record, r: Record, with_record: bool) -> tuple:
@@ -135,14 +293,16 @@ def _derived(with_record: bool, date: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 sources = parse(row[1] or b"") if date is None else [response(*row, date)]
                 for source in sources:
                     for r in derive(source) or ():
                         out.append((row[0], *_row(source, r, with_record)))
-                        if len(out) >= 2000:
+                        held += len(r.block)
+                        if len(out) >= 2000 or held > _HELD:
                             yield emit(out)
-                            out = []
+                            out, held = [], 0
             if out:
                 yield emit(out)
 
@@ -150,18 +310,19 @@ def _derived(with_record: bool, date: str | None):
 
 
 def derivatives(warcs: DataFrame, key_col: str = "key", warc_col: str = "content", with_record: bool = True) -> DataFrame:
-    """Derived records of WARC bytes (as the ``binaryFile`` source reads them), two rows per response record.
+    """Derived records of WARC bytes, plain or gzipped (as the ``binaryFile`` source reads them), two rows per response.
 
-    ``record`` is the whole derived WARC record. Null and empty bytes, records other than responses and a torn last
-    record give nothing.
+    ``record`` is the whole derived WARC record. Null and empty bytes, records other than responses, records without a
+    length and a torn last record give nothing; bodies are taken out of chunks, gzip and deflate.
     """
     return warcs.select(F.col(key_col).cast("long"), F.col(warc_col).cast("binary")).mapInArrow(_derived(with_record, None), SCHEMA)
 
 
-def page_derivatives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", with_record: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_derivatives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", with_record: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Derived records of the response record that each page stands for: two rows per row of ``pages``.
 
-    A null url or html counts as empty; a null id makes a record of its own; repeated rows give equal records.
+    A null id, url or html counts as empty. Record ids derive from all three: pages that differ in any have their own,
+    rows repeated in all give equal records. An empty table gives none.
     """
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     derived = rows.mapInArrow(_derived(with_record, date), SCHEMA).withColumnRenamed("key", "page_id")
