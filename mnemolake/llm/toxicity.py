@@ -1,14 +1,16 @@
 """Toxicity by Levenshtein automata intersected with a trie of learnt terms.
 
 The lexicon is learnt from labelled rows: word beginnings that stand in toxic documents far more often than elsewhere,
-each the longest that still covers the same documents. Terms are held in a trie. A Levenshtein automaton of one edit runs
-over it; their intersection is a deterministic automaton built lazily, so a word costs a few table lookups and most words
-leave it after some letters. Matches in quotation, or next to reporting words, are told apart from direct use by the
+each the longest that still covers the same documents. Terms are held in a trie. A Levenshtein automaton (letters left out,
+put in, replaced or swapped; one edit from five letters, two from nine) runs over it; their intersection is a deterministic
+automaton built lazily, so a word costs a few table lookups and most words leave it after some letters. A term is matched
+with edits only where such matches are rare in clean training texts. Matches in quotation, or next to reporting words, are told apart from direct use by the
 words around them, and a logistic regression turns the counts into a score. Scoring sees the text alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,15 +28,17 @@ from mnemolake.llm.common import cut
 
 #: Labelled rows used for fitting, those with the smallest hashes of their ids: a documented bound.
 TRAINING_ROWS = 20_000
-SHORTEST, LONGEST = 4, 12
-#: Terms of this length or more also match with one edit.
-FUZZY_FROM = 5
-MOST_TERMS = 4096
+#: Letters of the shortest and longest beginnings; whole words have three letters or more, whatever their length.
+SHORTEST, LONGEST = 4, 32
+#: Letters from which a term may match with one edit, and with two.
+ONE_EDIT, TWO_EDITS = 5, 9
+#: What a match with edits counts beside an exact one.
+MISSPELT = 0.8
 CONTEXT = 6
 #: How many times more often, by document, a term stands in toxic rows than in others.
 PURITY = 20
-#: Share of the distinct toxic texts that a term must stand in.
-LEAST_SHARE = 0.01
+#: Chance that any term at all qualifies where labels say nothing; with it the test is as strict as there are terms.
+CHANCE = 0.01
 FITTING_TASKS = 24
 CACHE_WORDS = 400_000
 
@@ -45,101 +49,130 @@ _OPEN, _CLOSE = "\"“”„«»‹›", "\"“”«»‹›"
 
 @dataclass
 class Model:
-    """Terms with what they match, and the regression's weights."""
+    """Terms (edits allowed by term) with what they match, and the regression's weights."""
 
     stems: list[str]
     words: list[str]
     weights: list[float]
     quoted: float = 0.5
+    edits: dict[str, int] = field(default_factory=dict)
     _matcher: Matcher | None = field(default=None, repr=False, compare=False)
 
     def matcher(self) -> Matcher:
         if self._matcher is None:
-            self._matcher = Matcher(self.stems, self.words)
+            self._matcher = Matcher(self.stems, self.words, self.edits)
         return self._matcher
 
 
+def most_edits(term: str) -> int:
+    return (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
+
+
 class Matcher:
     """The intersection of the lexicon's trie with Levenshtein automata.
 
-    A state is a frozen set of (trie node, edits); reading a letter follows, deletes, inserts or replaces. ``word`` gives
-    0 for no match, 1 for an exact and 2 for a one-edit match. Stems match the beginning of a word, words all of it.
+    A state is a frozen set of (trie node, edits, letter that must follow to end a swap or ""); reading a letter follows,
+    deletes, inserts, replaces or swaps. ``word`` gives the edits of the best match and its term, or None. Stems match the
+    beginning of a word, words all of it. ``edits`` has the most edits by term; by default length decides.
     """
 
-    def __init__(self, stems: list[str], words: list[str]) -> None:
+    def __init__(self, stems: list[str], words: list[str], edits: dict[str, int] | None = None) -> None:
         self.nodes: list[dict[str, int]] = [{}]
-        self.stem, self.whole, self.deep = [False], [False], [0]
+        self.stem: list[str | None] = [None]
+        self.whole: list[str | None] = [None]
+        self.most = [0]  # edits that any term below a node allows
+        self.allowed = {t: most_edits(t) if edits is None else edits.get(t, 0) for t in (*stems, *words)}
         for term, ends in [*((t, self.stem) for t in stems), *((t, self.whole) for t in words)]:
             at = 0
+            self.most[0] = max(self.most[0], self.allowed[term])
             for letter in term:
                 if letter not in self.nodes[at]:
                     self.nodes[at][letter] = len(self.nodes)
-                    self.nodes.append({}), self.stem.append(False), self.whole.append(False), self.deep.append(self.deep[at] + 1)
+                    self.nodes.append({}), self.stem.append(None), self.whole.append(None), self.most.append(0)
                 at = self.nodes[at][letter]
-            ends[at] = True
+                self.most[at] = max(self.most[at], self.allowed[term])
+            ends[at] = term
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
+        self.ends: list[tuple[tuple[int, str] | None, tuple[int, str] | None]] = []
         self.table: list[dict[str, int]] = []
-        self.start = self._id({(0, 0)})
-        self.cache: dict[str, int] = {}
-
-    def _id(self, pairs: set[tuple[int, int]]) -> int:
-        # The first letter must agree; a missing letter is an edit without reading.
-        for node, edits in list(pairs):
-            if edits == 0 and node:
-                pairs |= {(child, 1) for child in self.nodes[node].values()}
-        key = frozenset(pairs)
+        self.start = self._id({(0, 0, "")})
+        self.cache: dict[str, tuple[int, str] | None] = {}
+
+    def _id(self, found: set[tuple[int, int, str]]) -> int:
+        todo = list(found)
+        while todo:  # a letter left out is an edit without reading
+            node, edits, due = todo.pop()
+            if not due and edits < self.most[node]:
+                for child in self.nodes[node].values():
+                    if edits < self.most[child] and (more := (child, edits + 1, "")) not in found:
+                        found.add(more)
+                        todo.append(more)
+        best: dict[tuple[int, str], int] = {}
+        for node, edits, due in found:
+            best[node, due] = min(edits, best.get((node, due), 9))
+        key = frozenset((node, edits, due) for (node, due), edits in best.items())
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key), self.table.append({})
+            ends = []
+            for terms in (self.stem, self.whole):
+                hits = [(edits, terms[node]) for node, edits, due in key if not due and terms[node] is not None and edits <= self.allowed[terms[node]]]
+                ends.append(min(hits, default=None))
+            self.ends.append(tuple(ends))
         return self.ids[key]
 
     def _step(self, state: int, letter: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, edits in self.sets[state]:
+        out: set[tuple[int, int, str]] = set()
+        for node, edits, due in self.sets[state]:
+            if due:
+                if letter == due:
+                    out.add((node, edits, ""))
+                continue
             child = self.nodes[node].get(letter)
             if child is not None:
-                out.add((child, edits))
-            if edits == 0 and node:
-                out.add((node, 1))
-                out |= {(c, 1) for c in self.nodes[node].values()}
-        out -= {(n, 1) for n, e in out if e == 0}
+                out.add((child, edits, ""))
+            if edits < self.most[node]:
+                out.add((node, edits + 1, ""))
+                for other, c in self.nodes[node].items():
+                    if edits < self.most[c]:
+                        out.add((c, edits + 1, ""))
+                        swapped = self.nodes[c].get(letter)
+                        if swapped is not None and other != letter and edits < self.most[swapped]:
+                            out.add((swapped, edits + 1, other))
         found = self._id(out) if out else -1
         self.table[state][letter] = found
         return found
 
-    def word(self, word: str) -> int:
-        found = self.cache.get(word)
-        if found is None:
+    def word(self, word: str) -> tuple[int, str] | None:
+        try:
+            return self.cache[word]
+        except KeyError:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             found = self.cache[word] = self._run(word)
-        return found
+            return found
 
-    def _run(self, word: str) -> int:
-        state, best, table = self.start, 0, self.table
+    def _run(self, word: str) -> tuple[int, str] | None:
+        state, best, table = self.start, None, self.table
         for letter in word:
             following = table[state].get(letter)
             state = self._step(state, letter) if following is None else following
             if state < 0:
                 return best
-            for node, edits in self.sets[state]:
-                if self.stem[node] and (not edits or self.deep[node] >= FUZZY_FROM):
-                    if not edits:
-                        return 1
-                    best = 2
-        for node, edits in self.sets[state]:
-            if self.whole[node] and (not edits or self.deep[node] >= FUZZY_FROM):
-                if not edits:
-                    return 1
-                best = 2
-        return best
+            hit = self.ends[state][0]
+            if hit is not None and (best is None or hit < best):
+                best = hit
+                if not hit[0]:
+                    return best
+        hit = self.ends[state][1]
+        return hit if hit is not None and (best is None or hit < best) else best
 
 
 def features(text: str, matcher: Matcher) -> tuple[float, float, float, float]:
     """(direct, quoted, direct with an edit, quoted with an edit) matches of a whole text."""
     lowered = text.lower()
-    kinds = {w: k for w in set(_WORD.findall(lowered)) if (k := matcher.word(w))}
+    kinds = {w: 1 + (hit[0] > 0) for w in set(_WORD.findall(lowered)) if (hit := matcher.word(w))}
     counts = [0.0, 0.0, 0.0, 0.0]
     if not kinds:
         return tuple(counts)
@@ -160,12 +193,25 @@ def _quoted(text: str, start: int, end: int) -> int:
 
 
 def _inputs(counts: np.ndarray, quoted: float) -> np.ndarray:
-    """Regression inputs: any match, and logarithms of exact and of one-edit matches, quoted ones weighing less."""
-    exact, fuzzy = counts[:, 0] + quoted * counts[:, 1], counts[:, 2] + quoted * counts[:, 3]
-    return np.column_stack([np.ones(len(counts)), np.minimum(exact, 1), np.log1p(exact), np.minimum(fuzzy, 1), np.log1p(fuzzy)])
+    """Regression inputs: any match, and the logarithm of matches; quoted and misspelt ones weigh less."""
+    all_ = counts[:, 0] + quoted * counts[:, 1] + MISSPELT * (counts[:, 2] + quoted * counts[:, 3])
+    return np.column_stack([np.ones(len(counts)), np.minimum(all_, 1), np.log1p(all_)])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and loss; a match never speaks against toxicity, so inputs of negative weight are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        w, loss = _newton(x[:, used], y, ridge, rounds)
+        wrong = [i for i, v in zip(used, w) if i and v < 0]
+        if not wrong:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out, loss
+        used.remove(wrong[0])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
@@ -183,8 +229,8 @@ def _terms(text: str | None) -> set[str]:
     """Each word beginning of a text, and each whole word with a closing mark."""
     seen = set()
     for word in set(_WORD.findall((text or "").lower())):
-        if len(word) >= SHORTEST:
-            seen.update(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))
+        seen.update(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))
+        if len(word) >= 3:
             seen.add(word + "$")
     return seen
 
@@ -260,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, **names:
     rows = cut(training_rows(docs, labels, most, **names).repartition(FITTING_TASKS), "toxic-training")
     n1, n0 = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
-        return Model([], [], [0.0 if n1 else -20.0, 0.0, 0.0, 0.0, 0.0])
+        return Model([], [], [0.0 if n1 else -20.0, 0.0, 0.0])
 
     def counted(label: int, least: int, wanted=None) -> dict[str, int]:
         terms = distinct.where(F.col("toxic") == label).select("text").mapInArrow(_document_counts(wanted), "term string, n long")
@@ -270,10 +316,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, **names:
     distinct = rows.withColumn("likeness", _smallest_shingle(F.col("text"))).dropDuplicates(["likeness", "toxic"])
     # Shares and purity are of the texts that the counts are of.
     n1, n0 = distinct.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    toxic = counted(1, max(3, round(LEAST_SHARE * n1)))  # bounded by the training rows
+    toxic = counted(1, 3)  # bounded by the training rows
     clean = counted(0, 1, spark.sparkContext.broadcast(frozenset(toxic)))
-    stems, words = choose_terms([(t, n, clean.get(t, 0)) for t, n in toxic.items() if n * n0 > PURITY * (clean.get(t, 0) + 0.5) * n1])
-    model = Model(stems[:MOST_TERMS], words[:MOST_TERMS], [])
+    least = 2 * math.log(max(len(toxic), 1) / CHANCE)
+    stems, words = choose_terms([(t, n, m) for t, n in toxic.items() if n * n0 > PURITY * ((m := clean.get(t, 0)) + 0.5) * n1 and _surprise(n, m, n1, n0) >= least])
+    model = Model(stems, words, [], edits={t: most_edits(t) for t in (*stems, *words)})
+    # A term is matched with so many edits if clean texts match that way as much more seldom as terms are told by.
+    found = distinct.where("toxic = 0").select("text").mapInArrow(_edited(spark.sparkContext.broadcast(model)), "term string, edits int, n long")
+    for r in found.groupBy("term", "edits").agg(F.sum("n").alias("n")).orderBy(F.desc("edits")).collect():
+        if toxic.get(r["term"], toxic.get(r["term"] + "$", 0)) * n0 <= PURITY * (r["n"] + 0.5) * n1:
+            model.edits[r["term"]] = min(model.edits[r["term"]], r["edits"] - 1)
+    model._matcher = None
     seen = rows.mapInArrow(_count(spark.sparkContext.broadcast(model)), "toxic int, a double, b double, c double, d double").collect()  # at most `most` rows of numbers
     counts, y = np.array([list(r)[1:] for r in seen]), np.array([r["toxic"] for r in seen], float)
     choices = (0.5, 0.25, 0.0, 1.0) if ((counts[:, 1] + counts[:, 3]) > 0).sum() >= 20 else (0.5,)
@@ -282,6 +335,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, **names:
     return model
 
 
+def _surprise(n: int, m: int, n1: int, n0: int) -> float:
+    """The likelihood ratio of a term in n of n1 toxic and m of n0 clean texts against one that labels do not matter to."""
+    share, part = n1 / (n1 + n0), lambda k, e: k * math.log(k / e) if k else 0.0
+    return 2 * (part(n, (n + m) * share) + part(m, (n + m) * (1 - share)))
+
+
+def _edited(shared):
+    """Documents by term and edits of matches that are not exact, counted per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, counts = shared.value.matcher(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update({(hit[1], hit[0]) for w in set(_WORD.findall((text or "").lower())) if (hit := matcher.word(w)) and hit[0]})
+        terms = list(counts)
+        yield pa.record_batch([pa.array([t for t, _ in terms], pa.string()), pa.array([e for _, e in terms], pa.int32()), pa.array([counts[t] for t in terms], pa.int64())], names=["term", "edits", "n"])
+
+    return run
+
+
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value.matcher()
