@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Java and RE2 spelling of one word: a run of anything but the six ASCII white-space characters.
@@ -64,3 +65,8 @@ def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
     """UTF-8 bytes of a string column, null as empty, one value at a time."""
     for value in batch.column(column).cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64 bits of a document's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit("")))

@@ -8,6 +8,7 @@ whose merged count is above one route their documents to byte verification; all
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import cut, texts
+from mnemolake.llm.common import cut, document_key, texts
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Copies of the small side of a join on a text's digest, so that one huge group spreads over as many tasks.
@@ -38,11 +39,12 @@ class CountingQuotientFilter:
 
     The next ``q`` bits are the quotient, the rest the remainder. ``occupied`` has a bit per quotient, ``run_end`` a bit
     per slot; slots hold remainders in (quotient, remainder) order, and counters above one are kept beside their slot.
-    Quotient and remainder give back the whole fingerprint, so nothing is lost.
+    Quotient and remainder give back the whole fingerprint, so nothing is lost. Remainders are packed, as many bits each
+    as they have.
     """
 
-    def __init__(self, q: int, slice_bits: int, top: int, occupied, run_end, remainders, extra_at, extra) -> None:
-        self.q, self.slice_bits, self.top = q, slice_bits, top
+    def __init__(self, q: int, slice_bits: int, top: int, n: int, occupied, run_end, remainders, extra_at, extra) -> None:
+        self.q, self.slice_bits, self.top, self.n = q, slice_bits, top, n
         self.occupied, self.run_end, self.remainders = occupied, run_end, remainders
         self.extra_at, self.extra = extra_at, extra
 
@@ -58,13 +60,13 @@ class CountingQuotientFilter:
         run_end = np.append(quotient[1:] != quotient[:-1], True).astype(np.uint8)
         extra_at = np.flatnonzero(counts > 1).astype(np.uint32)
         return cls(
-            q, slice_bits, top, np.packbits(occupied), np.packbits(run_end),
-            sorted_unique & ((np.uint64(1) << r) - np.uint64(1)), extra_at, counts[extra_at].astype(np.uint64),
+            q, slice_bits, top, n, np.packbits(occupied), np.packbits(run_end),
+            _packed(sorted_unique, int(r)), extra_at, counts[extra_at].astype(np.uint64),
         )
 
     def decode(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted fingerprints and their counts."""
-        n = len(self.remainders)
+        n = self.n
         run_end = np.unpackbits(self.run_end, count=n)
         quotients = np.flatnonzero(np.unpackbits(self.occupied)).astype(np.uint64)
         run = np.cumsum(run_end, dtype=np.int64) - run_end
@@ -72,21 +74,24 @@ class CountingQuotientFilter:
         high = np.uint64(self.top << (64 - self.slice_bits)) if self.slice_bits else np.uint64(0)
         counts = np.ones(n, np.uint64)
         counts[self.extra_at] = self.extra
-        return high | (quotients[run] << r) | self.remainders, counts
+        return high | (quotients[run] << r) | _unpacked(self.remainders, n, int(r)), counts
 
     @staticmethod
     def merge(filters: list[CountingQuotientFilter]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts added up over filters of one quotient range, in fingerprint order."""
-        parts = [f.decode() for f in filters]
-        fingerprints = np.concatenate([p[0] for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        order = np.argsort(fingerprints, kind="stable")  # merges the sorted runs
-        fingerprints, counts = fingerprints[order], counts[order]
-        first = np.flatnonzero(np.append(True, fingerprints[1:] != fingerprints[:-1]))
-        return fingerprints[first], np.add.reduceat(counts, first)
+        """Counts added up over filters of one quotient range, in fingerprint order.
+
+        Two at a time, shortest first: each walks its remainders along the other's, and equal ones add their counts.
+        """
+        parts = [(len(f.remainders), i, f.decode()) for i, f in enumerate(filters)]
+        heapq.heapify(parts)
+        while len(parts) > 1:
+            (_, _, one), (_, i, other) = heapq.heappop(parts), heapq.heappop(parts)
+            both = _walk(one, other)
+            heapq.heappush(parts, (len(both[0]), i, both))
+        return parts[0][2]
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.q, self.slice_bits, self.top, len(self.remainders), len(self.extra_at)], np.uint64)
+        head = np.array([self.q, self.slice_bits, self.top, self.n, len(self.extra_at)], np.uint64)
         return b"".join(x.tobytes() for x in (head, self.occupied, self.run_end, self.remainders, self.extra_at, self.extra))
 
     @classmethod
@@ -94,10 +99,46 @@ class CountingQuotientFilter:
         q, slice_bits, top, n, m = (int(x) for x in np.frombuffer(data, np.uint64, 5))
         at = 40
         out = []
-        for dtype, size in ((np.uint8, (1 << q) // 8), (np.uint8, (n + 7) // 8), (np.uint64, n), (np.uint32, m), (np.uint64, m)):
+        r = 64 - slice_bits - q
+        for dtype, size in ((np.uint8, (1 << q) // 8), (np.uint8, (n + 7) // 8), (np.uint8, (n * r + 7) // 8), (np.uint32, m), (np.uint64, m)):
             out.append(np.frombuffer(data, dtype, size, at))
             at += size * np.dtype(dtype).itemsize
-        return cls(q, slice_bits, top, *out)
+        return cls(q, slice_bits, top, n, *out)
+
+
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low ``bits`` of every value, one behind the other."""
+    out = np.zeros(0, np.uint8)
+    parts = []
+    step = 1 << 16  # a multiple of eight values ends on a whole byte
+    for at in range(0, len(values), step):
+        wide = np.unpackbits(values[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        parts.append(np.packbits(wide[:, 64 - bits :].ravel()))
+    return np.concatenate(parts) if parts else out
+
+
+def _unpacked(packed: np.ndarray, n: int, bits: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    step = 1 << 16
+    for at in range(0, n, step):
+        some = min(step, n - at)
+        raw = np.unpackbits(packed[at * bits // 8 : (at + some) * bits // 8 + 1], count=some * bits).reshape(some, bits)
+        wide = np.zeros((some, 64), np.uint8)
+        wide[:, 64 - bits :] = raw
+        out[at : at + some] = np.packbits(wide, axis=1).view(">u8").ravel()
+    return out
+
+
+def _walk(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs without repeats as one, counts of what both hold added."""
+    (a, a_n), (b, b_n) = one, other
+    at = np.searchsorted(a, b)
+    held = np.zeros(len(b), bool)
+    inside = at < len(a)
+    held[inside] = a[at[inside]] == b[inside]
+    a_n = a_n.copy()
+    a_n[at[held]] += b_n[held]
+    return np.insert(a, at[~held], b[~held]), np.insert(a_n, at[~held], b_n[~held])
 
 
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +149,8 @@ def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fingerprints.append(xxhash.xxh3_64_intdigest(text))
             digests.append(hashlib.sha256(text).hexdigest())
         yield pa.record_batch(
-            [batch.column(0), pa.array(np.array(fingerprints, np.uint64).view(np.int64)), pa.array(digests, pa.string())],
-            names=["doc_id", "fingerprint", "text_sha256"],
+            [batch.column(0), pa.array(np.array(fingerprints, np.uint64).view(np.int64)), pa.array(digests, pa.string()), *batch.columns[2:]],
+            names=["doc_id", "fingerprint", "text_sha256", *batch.schema.names[2:]],
         )
 
 
@@ -162,15 +203,18 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " {2,}", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; and key on request, 64 bits of id and
+    text (``common.document_key``).
 
     Null text counts as empty. Texts are equal when identical after replacing each run of ASCII white space by one
     space. The smallest doc_id of equal texts stays (null ids last); of repeated rows with that id, exactly one stays.
     An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    meta = source.mapInArrow(_meta, "doc_id long, fingerprint long, text_sha256 string")
+    if with_key:
+        source = source.withColumn("key", document_key())
+    meta = source.mapInArrow(_meta, "doc_id long, fingerprint long, text_sha256 string" + (", key long" if with_key else ""))
     salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int")
     meta = cut(meta.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", salt), "dedup-meta")
 
@@ -194,4 +238,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        *(["key"] if with_key else []),
     )

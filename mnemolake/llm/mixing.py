@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import WORD_PATTERN, cut, discard
+from mnemolake.llm.common import WORD_PATTERN, cut, discard, document_key
 
 LEVELS, BITS = 4, 12
 #: A source may be repeated this many times at most.
@@ -109,7 +109,7 @@ def _whole_range(budgets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_copies: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken; source, copies and text_hash on request.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken; source, copies and key on request.
 
     A null text has size 0, a null source is a source of its own (last in order). A source whose target is k times its
     size and a rest takes every document floor(k) times, and once more those under the threshold for the rest, so taken
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     doc_id = F.col(id_col)
     sized = docs.select(
         doc_id.cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-        _hash(doc_id).alias("hash"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"),
+        _hash(doc_id).alias("hash"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"), document_key(id_col, text_col).alias("key"),
     )
     # The hash of the text is mixed with the id's, and of 48 bits like it.
     second = F.shiftrightunsigned(F.xxhash64("hash", "text_hash"), 16)
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
         rows = rows.join(chosen, "row", "left")
         once |= F.col("chosen").isNotNull()
     copies = F.col("whole") + F.when(once & (F.col("whole") < most), 1).otherwise(0)
-    columns = ["source", copies.cast("int").alias("copies"), "text_hash"] if with_copies else []
+    columns = ["source", copies.cast("int").alias("copies"), "key"] if with_copies else []
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *columns)
 
 

@@ -14,14 +14,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from mnemolake.llm.common import cut, texts
+from mnemolake.llm.common import cut, discard, document_key, texts
 
 BUDGET = 3
 #: Node pairs with at most this many fingerprint pairs below them are compared directly.
@@ -79,16 +77,6 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     return source.mapInArrow(_fingerprints(shingle, second), "doc_id long, fp long, fp2 long")
 
 
-def hex_fingerprint(shingle: int = 3):
-    """A function of a text column: the fingerprint as 16 hex digits."""
-
-    @F.pandas_udf(StringType())
-    def of(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: f"{fingerprint((t or '').encode(), shingle):016x}")
-
-    return of
-
-
 class _Forest:
     """Smallest member of each group under batches of links, vectorised."""
 
@@ -110,9 +98,9 @@ class _Forest:
             self.label[up] = self.label[self.label[up]]
 
 
-def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int = 64, others: np.ndarray | None = None, confirm: int = 64) -> np.ndarray:
+def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int = 64, others: np.ndarray | None = None, confirm: int = 64, pairs: _Nearest | None = None) -> np.ndarray:
     """Group labels (indices) of sorted distinct ``keys`` after linking those within ``budget`` bits and one ``prefix``,
-    and whose ``others``, where given, are within ``confirm`` bits."""
+    and whose ``others``, where given, are within ``confirm`` bits. ``pairs`` takes the linked pairs themselves."""
     forest = _Forest(len(keys))
     top = keys >> np.uint64(bits - prefix) if prefix else np.zeros(len(keys), np.uint64)
     edges = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(keys)]])
@@ -128,7 +116,7 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int =
         a0, a1, b0, b1, d = nodes
         small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth == bits)
         if small.any():
-            _compare(keys, nodes[:, small], budget, forest, others, confirm)
+            _compare(keys, nodes[:, small], budget, forest, others, confirm, pairs)
             nodes = nodes[:, ~small]
         if not nodes.shape[1]:
             continue
@@ -150,7 +138,7 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int = BUDGET, bits: int =
     return forest.label
 
 
-def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest, others: np.ndarray | None, confirm: int) -> None:
+def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest, others: np.ndarray | None, confirm: int, pairs: _Nearest | None) -> None:
     a0, a1, b0, b1, _ = nodes
     sizes = (a1 - a0) * (b1 - b0)
     for part in np.array_split(np.arange(len(sizes)), max(1, int(sizes.sum() >> 22))):
@@ -163,7 +151,9 @@ def _compare(keys: np.ndarray, nodes: np.ndarray, budget: int, forest: _Forest,
         near &= i < j
         if others is not None:
             near[near] = np.bitwise_count(others[i[near]] ^ others[j[near]]) <= confirm
-        if near.any():
+        if near.any() and pairs is not None:
+            pairs.add(i[near], j[near], np.bitwise_count(keys[i[near]] ^ keys[j[near]]).astype(np.int64))
+        elif near.any():
             forest.link(i[near], j[near])
 
 
@@ -192,37 +182,49 @@ def _spread(budget: int):
             fp = batch.column(0).to_numpy().view(np.uint64)
             for choice, order in enumerate(orders):
                 start = _permuted(fp, order) >> np.uint64(64 - path)
-                yield pa.record_batch([pa.array((start + np.uint64(choice << path)).astype(np.int64)), *batch.columns], names=["path", "fp", "fp2"])
+                yield pa.record_batch([pa.array((start + np.uint64(choice << path)).astype(np.int64)), batch.column(0)], names=["path", "fp"])
 
     return run
 
 
-def _links(budget: int, confirm: int | None):
+def _grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with one value in the first column; rows come sorted by it."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = [batch.column(c).to_numpy() for c in range(columns)]
+        edges = [0, *(np.flatnonzero(parts[0][1:] != parts[0][:-1]) + 1).tolist(), len(parts[0])]
+        for low, high in zip(edges, edges[1:]):
+            if held and held[0][0][0] != parts[0][low]:
+                yield [np.concatenate([h[c] for h in held]) for c in range(columns)]
+                held = []
+            held.append([p[low:high] for p in parts])
+    if held:
+        yield [np.concatenate([h[c] for h in held]) for c in range(columns)]
+
+
+def _links(budget: int):
     bits, orders = _choices(budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in range(3)] for b in batches]
-        if not parts:
-            return
-        path, fp, other = (np.concatenate([p[c] for p in parts]) for c in range(3))
-        for choice in np.unique(path >> bits).tolist():
-            mine = path >> bits == choice
-            keys, plain, second = _permuted(fp[mine].view(np.uint64), orders[choice]), fp[mine], other[mine].view(np.uint64)
+        for path, fp in _grouped(batches, 2):  # a path of the trie at a time
+            if len(fp) < 2:
+                continue
+            keys = _permuted(fp.view(np.uint64), orders[int(path[0]) >> bits])
             order = np.argsort(keys)
-            label = trie_links(keys[order], bits, budget, others=second[order] if confirm is not None else None, confirm=confirm or 0)
+            label = trie_links(keys[order], bits, budget)
             linked = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.record_batch([pa.array(plain[order[linked]]), pa.array(plain[order[label[linked]]])], names=["a", "b"])
+            if len(linked):
+                yield pa.record_batch([pa.array(fp[order[linked]]), pa.array(fp[order[label[linked]]])], names=["a", "b"])
 
     return run
 
 
-def links(fingerprints: DataFrame, budget: int = BUDGET, confirm: int | None = None) -> DataFrame:
-    """(a, b): links that connect all of the distinct ``fp`` within ``budget`` bits; spanning stars, not all pairs.
-
-    ``confirm``: how many bits of ``fp2`` may differ as well.
-    """
-    spread = fingerprints.select("fp", "fp2").mapInArrow(_spread(budget), "path long, fp long, fp2 long")
-    return spread.repartition("path").mapInArrow(_links(budget, confirm), "a long, b long")
+def links(fingerprints: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(a, b): links that connect all of the distinct ``fp`` within ``budget`` bits; spanning stars, not all pairs."""
+    spread = fingerprints.select("fp").mapInArrow(_spread(budget), "path long, fp long")
+    return spread.repartition("path").sortWithinPartitions("path").mapInArrow(_links(budget), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -251,20 +253,152 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", confirm: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
-    Texts whose fingerprints differ in at most ``budget`` bits (and in at most ``confirm`` of 64 further ones, if given: that
-    rules out chance at wide budgets) are linked, and component_id is the smallest doc_id that
-    links reach (null ids count last). Null and empty texts have fingerprint zero and are linked like any other. An empty
-    table gives an empty result.
+    Texts whose fingerprints differ in at most ``budget`` bits are linked, and component_id is the smallest doc_id that
+    links reach (null ids count last). Null and empty texts have fingerprint zero and are linked like any other. Repeated
+    rows are each listed; an empty table gives an empty result.
     """
-    hashed = cut(simhash(docs, shingle, id_col, text_col, confirm is not None), "simhash")
-    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2")), "simhash-distinct")
-    groups = components(links(distinct, budget, confirm))
+    hashed = cut(simhash(docs, shingle, id_col, text_col).drop("fp2"), "simhash")
+    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    groups = components(links(distinct, budget))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "simhash-roots")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(linked, "root").select("fp", "component_id")
     joined = hashed.join(by_print, "fp")  # one row per distinct fingerprint on the right; AQE splits a hot one
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by shingle similarity: the tries find candidates, the shingles decide.
+
+#: Words of a shingle under the candidates' fingerprints. An edited word changes two such shingles, where it changes five
+#: of five words, so texts at a Jaccard similarity of 0.8 of the latter differ in some six of 64 bits.
+CANDIDATE_SHINGLE = 2
+#: Tries over each of two fingerprints, bits of the path into them, bits that may differ below, and in the other fingerprint.
+TRIES, PATH_BITS, TRIE_BUDGET, OTHER_BUDGET = 10, 16, 12, 18
+#: Texts of one task and path that are so near are first linked to this many of their nearest each.
+NEAREST = 32
+
+
+def _orders() -> list[np.ndarray]:
+    """Bit orders of the tries: the path's bits, then the rest; every bit is on two or three paths."""
+    rng = np.random.default_rng(5)
+    out, pool = [], []
+    for _ in range(TRIES):
+        if len(pool) < PATH_BITS:
+            pool = pool + [b for b in rng.permutation(64).tolist() if b not in pool]
+        path, pool = pool[:PATH_BITS], pool[PATH_BITS:]
+        out.append(np.array(path + [b for b in range(63, -1, -1) if b not in path]))
+    return out
+
+
+def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = [batch.column(c).to_numpy().view(np.uint64) for c in (0, 1)]
+        for which in (0, 1):
+            for choice, order in enumerate(_orders()):
+                start = _permuted(prints[which], order) >> np.uint64(64 - PATH_BITS)
+                path = start + np.uint64((which * TRIES + choice) << PATH_BITS)
+                yield pa.record_batch([pa.array(path.astype(np.int64)), *batch.columns], names=["path", "fp", "fp2"])
+
+
+class _Nearest:
+    """Pairs that a trie finds, each end's nearest few at a time."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.kept = np.zeros((3, 0), np.int64)
+        self.label = np.zeros(0)
+
+    def add(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        self.kept = np.concatenate([self.kept, np.stack([i, j, apart])], axis=1)
+        if self.kept.shape[1] > 1 << 20:
+            self.thin()
+
+    def thin(self) -> np.ndarray:
+        """Keeps pairs that are among the nearest of either end."""
+        keep = np.zeros(self.kept.shape[1], bool)
+        for end in (0, 1):
+            order = np.lexsort((self.kept[2], self.kept[end]))
+            ends = self.kept[end][order]
+            nth = np.arange(len(ends)) - np.searchsorted(ends, ends)
+            keep[order[nth < self.most]] = True
+        self.kept = self.kept[:, keep]
+        return self.kept
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    orders = _orders()
+    for path, fp, fp2 in _grouped(batches, 3):
+        if len(fp) < 2:
+            continue
+        which, choice = divmod(int(path[0]) >> PATH_BITS, TRIES)
+        searched, other = (fp, fp2) if which == 0 else (fp2, fp)
+        keys = _permuted(searched.view(np.uint64), orders[choice])
+        order = np.argsort(keys, kind="stable")
+        pairs = _Nearest(NEAREST)
+        trie_links(keys[order], PATH_BITS, TRIE_BUDGET, others=other.view(np.uint64)[order], confirm=OTHER_BUDGET, pairs=pairs)
+        i, j, _ = pairs.thin()
+        if len(i):
+            yield pa.record_batch([pa.array(x[order[k]]) for k in (i, j) for x in (fp, fp2)], names=["a", "a2", "b", "b2"])
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts(part)]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return run
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    words = text.lower().split()
+    k = max(1, min(shingle, len(words)))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))), np.uint64)
+
+
+def near_by_shingles(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, kept) per distinct document: key is xxhash64 of id and text, see ``common.document_key``; of each group that links
+    connect, the smallest id stays (null ids last, then the smallest key).
+
+    Texts are linked at a Jaccard similarity of ``threshold`` of their sets of ``shingle`` words, lower-cased. Candidates
+    come from tries over two 64-bit SimHashes, twenty in all, each behind a path of 16 bits; every candidate is decided
+    by its whole shingle sets. Texts with equal fingerprints meet the first of them. Fewer words than a shingle make one
+    shingle of all; texts without words are equal to each other. Repeated rows are one document. An empty table gives
+    none.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(document_key(id_col, text_col).alias("key"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    prints = source.select("key", "text", "doc_id").mapInArrow(_wide_prints, "key long, doc_id long, fp long, fp2 long")
+    prints = cut(prints.dropDuplicates(["key"]), "near-prints")
+    distinct = cut(prints.groupBy("fp", "fp2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    found = distinct.select("fp", "fp2").mapInArrow(_spread_wide, "path long, fp long, fp2 long").repartition("path").sortWithinPartitions("path")
+    found = found.mapInArrow(_candidates, "a long, a2 long, b long, b2 long").distinct()
+    one, other = (distinct.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("first").alias(f"{x}_key")) for x in "ab")
+    pairs = found.join(one, ["a", "a2"]).join(other, ["b", "b2"]).select("a_key", "b_key")
+    alike = prints.join(distinct.where("n > 1"), ["fp", "fp2"]).where("key <> first").select(F.col("first").alias("a_key"), F.col("key").alias("b_key"))
+    pairs = cut(pairs.union(alike), "near-pairs")
+    wanted = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
+    sets = source.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+    sets = cut(sets.dropDuplicates(["key"]), "near-sets")
+    a, b = (sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    sizes = F.size("a_set") + F.size("b_set")
+    links_ = pairs.join(a, "a_key").join(b, "b_key").where(shared * (1 + threshold) >= sizes * threshold - 1e-9)
+    groups = components(links_.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+    placed = prints.join(groups.withColumnRenamed("node", "key"), "key")
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    kept = placed.join(best, "root").select("key", (F.col("key") == F.col("best.key")).alias("stays"))
+    discard(sets)
+    return prints.select("key").join(kept, "key", "left").select("key", F.coalesce("stays", F.lit(True)).alias("kept"))
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([fingerprints(t, CANDIDATE_SHINGLE, second=True) for t in texts(batch)], np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "doc_id", "fp", "fp2"])
