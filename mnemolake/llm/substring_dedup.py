@@ -1,17 +1,18 @@
 """Substring deduplication: suffix automata of reference shards and the matching statistics of documents.
 
-A window is ``window`` consecutive words; its words go when the same sequence of words also starts anywhere else. One set
-of automata over the whole corpus could not be broadcast, for it grows with the corpus. So references are sharded by
-content: each window belongs to the anchor in it, the word group of smallest hash, and equal windows have equal anchors.
-Runs of windows with one anchor occurrence are segments, and only segments whose anchor occurs again can match.
-
-* Segments that are equal as a whole are settled by counting.
-* The distinct segments of an anchor are a shard: a suffix automaton of them is built where the shard lies, each segment
-  streams through it, and a state that holds its last ``window`` words and ends more than once marks a repeated window.
-* A shard of more than ``shard_segments`` segments is settled exactly by counting hashes of its windows instead, which
-  spreads over all tasks whatever its size.
-
-Words are compared by 64-bit hashes throughout; texts move once per join and only marked ranges come back.
+A window is ``window`` consecutive words; its words go when the same sequence of words also starts anywhere else. Automata
+of the whole corpus grow with it and cannot be broadcast, and to broadcast them in turn would read the corpus once per
+shard. So references are sharded by content, and an automaton stands where its shard and all that can match it lie: each
+window belongs to the anchor in it, the word group of smallest hash, and equal windows have equal anchors. Runs of windows
+with one anchor occurrence are segments, and only segments whose anchor occurs again can match.
+
+The distinct segments of an anchor, with how often each occurs, are a shard of bounded size: a suffix automaton of them is
+built, each segment streams through it, and a state that holds its last ``window`` words and ends more than once marks a
+repeated window. All results come from automata. A shard of more than ``shard_segments`` segments is sharded again by
+longer anchors, up to whole windows, where a shard is one segment.
+
+Words are compared by 64-bit hashes in the automata, segments are told apart by 128 bits; texts move once per join and
+only marked ranges come back.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm.common import cut, discard, texts
 
 WINDOW, ANCHOR = 35, 8
+#: Distinct segments of one automaton; larger shards are parted by longer anchors.
 SHARD_SEGMENTS = 512
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -185,7 +187,7 @@ def _fetch(window: int):
             for i, text in enumerate(texts(batch, 2)):
                 words = word_hashes(text)
                 for w in batch.column(3)[i].as_py():
-                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["anchor"], w["kinds"], w["first"], w["times"], words[w["first"] : w["first"] + w["windows"] + window - 1].tobytes()))
+                    out.append((w["anchor"], w["segment"], w["kinds"], w["times"], words[w["first"] : w["first"] + w["windows"] + window - 1].tobytes()))
                 if len(out) > 20_000:
                     yield _rows(out)
                     out = []
@@ -196,9 +198,29 @@ def _fetch(window: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    names = ("doc_id", "text_key", "anchor", "kinds", "first", "times", "words")
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["anchor", "segment", "kinds", "times", "words"])
+
+
+def _parted(window: int, anchor: int):
+    """Segments of large shards, cut at the occurrences of longer anchors: which segment, where in it, and the new one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["whole_anchor", "whole", "times", "anchor", "segment", "first", "words"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in batches:
+            out: list[tuple] = []
+            for old, whole, times, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "times", "words"))):
+                code = np.frombuffer(raw, np.uint64)
+                for at, part, first, windows in zip(*segments(Hashes(code), window, anchor)):
+                    out.append((old, whole, times, int(at.view(np.int64)), int(part.view(np.int64)), int(first), code[first : first + windows + window - 1].tobytes()))
+                if len(out) > 20_000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return run
 
 
 def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -215,31 +237,30 @@ def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
 def _match(window: int):
     """Rows come sorted by anchor: one shard after another."""
 
-    def settle(shard: list[tuple]) -> list[tuple]:
+    def settle(anchor: int, shard: list[tuple]) -> list[tuple]:
         automaton = SuffixAutomaton()
-        sequences = [np.frombuffer(s[4], np.uint64).tolist() for s in shard]
+        sequences = [np.frombuffer(s[2], np.uint64).tolist() for s in shard]
         for s, words in zip(shard, sequences):
-            automaton.add(words, s[3])
+            automaton.add(words, s[1])
         automaton.finish()
         out = []
-        for (doc_id, text_key, first, times, _), words in zip(shard, sequences):
-            if times == 1:  # segments that occur again as a whole are settled
-                out += [(doc_id, text_key, first + a, first + b) for a, b in _runs(automaton.repeated(words, window), window)]
+        for (segment, _, _), words in zip(shard, sequences):
+            out += [(anchor, segment, a, b) for a, b in _runs(automaton.repeated(words, window), window)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "first", "times", "words")]
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "segment", "times", "words")]
             for anchor, *row in zip(*columns):
                 if anchor != now:
-                    out += settle(shard) if len(shard) > 1 else []
+                    out += settle(now, shard) if shard else []
                     now, shard = anchor, []
                 shard.append(tuple(row))
             if len(out) > 20_000:
                 yield _ranges(out)
                 out = []
-        out += settle(shard) if len(shard) > 1 else []
+        out += settle(now, shard) if shard else []
         if out:
             yield _ranges(out)
 
@@ -247,27 +268,8 @@ def _match(window: int):
 
 
 def _ranges(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out))
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "text_key", "low", "high"])
-
-
-def _spread(window: int):
-    """Every window of a large shard's segments with a 128-bit hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text_key, first, times, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "first", "times", "words"))):
-                code = np.frombuffer(words, np.uint64)
-                starts = np.arange(len(code) - window + 1)
-                n = len(starts)
-                high = Hashes(_mix(code)).run(starts, starts + window)
-                low = Hashes(code).run(starts, starts + window)
-                yield pa.record_batch(
-                    [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_key)), pa.array((first + starts).astype(np.int32)), pa.array(np.full(n, times)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))],
-                    names=["doc_id", "text_key", "low", "times", "h1", "h2"],
-                )
-
-    return run
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["anchor", "segment", "low", "high"])
 
 
 def _clean(with_text: bool):
@@ -309,31 +311,44 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     discard(found)
     kinds = live.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("one"))
     kinds = cut(kinds, "sub-kinds")
-    whole = live.join(kinds.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
-    whole = whole.select("doc_id", "text_key", F.col("first").alias("low"), (F.col("first") + F.col("windows") + F.lit(window - 1)).alias("high"))
-
-    shards = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(shards, "anchor").select("anchor", "kinds", F.least("times", F.lit(2)).alias("times"), "one.*")
-    asked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "kinds", "first", "windows", "times")).alias("asked"))
-    fetched = _to_docs(source, asked, "inner", "asked").mapInArrow(_fetch(window), f"{key}, anchor long, kinds long, first int, times long, words binary")
+    shards = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    wanted = kinds.join(shards, "anchor").select("anchor", "segment", "kinds", F.least("times", F.lit(2)).alias("times"), "one.*")
+    asked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "segment", "kinds", "first", "windows", "times")).alias("asked"))
+    fetched = _to_docs(source, asked, "inner", "asked").mapInArrow(_fetch(window), "anchor long, segment long, kinds long, times long, words binary")
     # A repeated row is fetched twice; its segments occur twice as they are, so that changes no answer.
     fetched = cut(fetched, "sub-shards")
-    spans = f"{key}, low int, high int"
-    small = fetched.where(F.col("kinds") <= shard_segments).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    matched = small.mapInArrow(_match(window), spans)
-    # Of large shards only hashes of windows are shuffled, with partial counts first.
-    spread = fetched.where(F.col("kinds") > shard_segments).mapInArrow(_spread(window), f"{key}, low int, times long, h1 long, h2 long")
-    repeated = spread.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
-    counted = spread.join(repeated, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "low", (F.col("low") + F.lit(window)).alias("high"))
-
-    ranges = whole.unionByName(matched).unionByName(counted)
+    spans = _matched(fetched, window, anchor, shard_segments)
+    found_spans = cut(spans, "sub-spans")
+    ranges = live.join(found_spans, ["anchor", "segment"]).select("doc_id", "text_key", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     marked = cut(ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "sub-ranges")
-    for done in (live, kinds, fetched):
+    for done in (live, kinds, fetched, found_spans):
         discard(done)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
     return _to_docs(source, marked, "left", "ranges").mapInArrow(_clean(with_text), out)
 
 
+def _matched(fetched: DataFrame, window: int, anchor: int, shard_segments: int) -> DataFrame:
+    """(anchor, segment, low, high): ranges of words that repeated windows cover, of segments (anchor, segment, kinds, times,
+    words); by automata of shards, and of parts of those that are too large for one."""
+    spans = "anchor long, segment long, low int, high int"
+    fits = F.col("kinds") <= shard_segments
+    small = fetched.where(fits).select("anchor", "segment", "times", "words").repartition("anchor").sortWithinPartitions("anchor")
+    matched = small.mapInArrow(_match(window), spans)
+    large = fetched.where(~fits)
+    if large.isEmpty():
+        return matched
+    longer = min(2 * anchor, window)
+    parts = large.mapInArrow(_parted(window, longer), "whole_anchor long, whole long, times long, anchor long, segment long, first int, words binary")
+    parts = cut(parts, "sub-parts")
+    kinds = parts.groupBy("anchor", "segment").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+    live = kinds.join(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).where("all > 1"), "anchor")
+    live = cut(live.select("anchor", "segment", F.when(F.lit(longer == window), F.lit(1)).otherwise(F.col("kinds")).cast("long").alias("kinds"), F.least("times", F.lit(2)).alias("times"), "words"), "sub-part-shards")
+    below = _matched(live, window, longer, shard_segments)
+    moved = parts.select("whole_anchor", "whole", "anchor", "segment", "first").join(below, ["anchor", "segment"])
+    moved = moved.select(F.col("whole_anchor").alias("anchor"), F.col("whole").alias("segment"), (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    return matched.unionByName(moved)
+
+
 def _to_docs(source: DataFrame, by_doc: DataFrame, how: str, column: str) -> DataFrame:
     by_doc = by_doc.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"), column)
     on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key"))
