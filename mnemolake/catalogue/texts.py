@@ -153,8 +153,7 @@ def chunk_conversations(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT conv_id, turn, text, sum(len(text)) OVER (PARTITION BY 1 ORDER BY conv_id, turn) AS upto, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations)
 SELECT conv_id, turn, len(text) AS n FROM r WHERE upto <= 5000 OR rn = 1""")
 def char_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    head = Store(spark, d).table("conversations").orderBy("conv_id", "turn").limit(1000)  # a budget of 5000 ends well before
-    rows = fusion.within_budget(head, F.length("text"), 5000, ["conv_id", "turn"])
+    rows = fusion.within_budget_of_many(Store(spark, d).table("conversations"), F.length("text"), 5000, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 

@@ -129,10 +129,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH o AS (SELECT 4000000000000 + doc_id AS id, len(list_intersect(list_distinct({tokens_sql('text')}), ['license', 'version'])) AS n FROM documents)
-SELECT id, n::DOUBLE AS score FROM o WHERE n > 0 ORDER BY n DESC, id LIMIT 10""")
+@query()
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """A reranker over all candidates of a two-word query, scoring by distinct words shared; ties by id."""
+    """A reranker over the candidates of a two-word query that its budgets let through, scoring whole texts, each cut to
+    its token budget, by distinct words shared; ties by id. SQL lacks the token budgets."""
     import re
 
     def overlap(query: str, documents: list[str]) -> list[float]:
@@ -141,7 +141,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
 
     store = Store(spark, d)
     documents = store.notes.select("id", F.col("content").alias("text"))
-    rows, _ = HybridSearch(_index(spark, d), rerank=overlap).search("license version", 10, documents=documents.withColumn("text", F.substring_index("text", "\n", -1)))
+    rows, _ = HybridSearch(_index(spark, d), rerank=overlap).search("license version", 10, documents=documents)
     return rows.select("id", "score")
 
 

@@ -121,8 +121,8 @@ def bm25(tf: Column, dl: Column, df: int, n: int, mean: float) -> Column:
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-def search(index: TextIndex | StoredIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
-    """id, note_id, strict, score of the best ``limit`` documents.
+def matches(index: TextIndex | StoredIndex, query: str, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
+    """id, note_id, strict, score of every document that matches, in no order.
 
     Documents that hold every strict term in text or name come first, scored by the strict terms; the rest need any loose
     term and are scored by those. Filters cannot make a document match. ``mode`` restricts to one pass.
@@ -149,8 +149,12 @@ def search(index: TextIndex | StoredIndex, query: str, limit: int, field: str =
     anything = reduce(lambda a, b: a | b, [has(t) for t in loose], F.lit(False))
     keep = {"strict": everything, "loose": anything, "both": everything | anything}[mode]
     first = F.lit(False) if mode == "loose" else everything
-    rows = rows.where(keep).select("id", "note_id", first.cast("int").alias("strict"), F.when(first, score(strict)).otherwise(score(loose)).alias("score"))
-    return rows.orderBy(F.desc("strict"), F.desc(F.round("score", 9)), "id").limit(limit)
+    return rows.where(keep).select("id", "note_id", first.cast("int").alias("strict"), F.when(first, score(strict)).otherwise(score(loose)).alias("score"))
+
+
+def search(index: TextIndex | StoredIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
+    """The best ``limit`` of ``matches``: strict ones first, then by score, ties to smaller ids."""
+    return matches(index, query, field, where, mode).orderBy(F.desc("strict"), F.desc(F.round("score", 9)), "id").limit(limit)
 
 
 def index_session(index: TextIndex | StoredIndex) -> SparkSession:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.operators.materialize import settle
+
 RRF_K = 60
 
 
@@ -49,6 +51,23 @@ def within_budget(items: DataFrame, length: Column | str, budget: int, order: li
     return rows.where(fits | (F.col("__nth") == 1) if keep_first else fits).drop("__upto", "__nth")
 
 
+def within_budget_of_many(items: DataFrame, length: Column | str, budget: int, order: list[Column | str]) -> DataFrame:
+    """As ``within_budget``, the very first item always kept, for items that no limit has made few.
+
+    After a distributed sort, a sum per part tells which parts begin within the budget; only those are summed up row by row.
+    """
+    size = F.col(length) if isinstance(length, str) else length
+    placed = settle(items.withColumn("__size", size).orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sums = placed.groupBy(part.alias("__part")).agg(F.sum("__size").alias("__sum"), F.min("__at").alias("__low"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    begun = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.min("__low").over(Window.partitionBy()).alias("__first")).where(F.col("__before") <= budget)
+    rows = placed.withColumn("__part", part).join(F.broadcast(begun), "__part")
+    upto = F.col("__before") + F.sum("__size").over(Window.partitionBy("__part").orderBy("__at"))
+    rows = rows.withColumn("__upto", upto).where((F.col("__upto") <= budget) | (F.col("__at") == F.col("__first")))
+    return rows.select(*items.columns)
+
+
 def rerank_cut(candidates: DataFrame, query_tokens: int, total: int = 8192, documents: int = 50, per_document: int = 1024) -> DataFrame:
     """Candidates (position, tokens) that fit both limits: so many documents, and the query's and their tokens together."""
     window = Window.orderBy("position")
