@@ -27,8 +27,9 @@ _BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article sectio
 #: Elements whose content is not text; what stands in a head is skipped up to the first tag that cannot stand there.
 _SKIPPED = frozenset(("script", "style", "noscript", "template"))
 _IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template object".split())
-_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_END = {name: re.compile("</" + name, re.I | re.A) for name in (*_SKIPPED, "title")}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 
@@ -127,78 +128,58 @@ def scan(body: str) -> Page:
     head that is not closed ends at the first tag that cannot stand in one.
     """
     page, parts, at, n = Page(), [], 0, len(body)
-    in_head, no_end = False, False
-    lowered = None
-    titled: int | None = None
-    while at < n:
-        opened = body.find("<", at)
-        if opened < 0:
-            opened = n
+    in_head, unclosed = False, set()
+    # Behind the last sign that ends a tag there is none; so the pattern below never searches in vain twice.
+    last, comments = body.rfind(">") + 1, body.rfind("-->")
+    while (m := _TAG.search(body, at, last)) is not None:
+        opened, closed = m.span()
         if opened > at and not in_head:
             parts.append(body[at:opened])
-        if opened == n:
-            break
-        if body.startswith("<!--", opened):
-            closed = body.find("-->", opened + 4)
-            at = n if closed < 0 else closed + 3
-            if not in_head:
-                parts.append(" ")
-            continue
-        head = body[opened + 1 : opened + 2]
-        named = _NAME.match(body, opened + 1)
-        closed = -1 if no_end or not (named or head in ("!", "?")) else body.find(">", opened + 1)
-        if closed < 0:  # no tag: a sign like any other
-            no_end |= bool(named) or head in ("!", "?")
-            if not in_head:
-                parts.append("<")
-            at = opened + 1
-            continue
-        at = closed + 1
-        if not named:
+        at, name = closed, m[2]
+        if name is None:
+            if m[0] == "<!--":
+                end = body.find("-->", closed) if closed <= comments else -1
+                at = n if end < 0 else end + 3
+                if not in_head:
+                    parts.append(" ")
             continue
-        name, closing = named[1].lower(), head == "/"
-        tag = body[named.end() : closed]
+        name, closing = name.lower(), m[1]
         if in_head and (name == "head" if closing else name not in _IN_HEAD):
             in_head = False
         if closing:
             if name in _BREAKS and not in_head:
                 parts.append("\n")
-            continue
-        if name == "a" and "href" in tag.lower():
-            href = next((v for k, *v in _ATTRIBUTE.findall(tag) if k.lower() == "href" and any(v)), None)
+        elif name == "a":
+            href = next((v for k, *v in _ATTRIBUTE.findall(m[0], m.end(2) - opened) if k.lower() == "href" and any(v)), None)
             if href:
                 page.links.append(html.unescape("".join(href)))
+        elif name in _BREAKS:
+            if not in_head:
+                parts.append("\n")
         elif name == "html" and not page.language:
-            page.language = next(("".join(v) for k, *v in _ATTRIBUTE.findall(tag) if k.lower() == "lang"), "")
+            page.language = next(("".join(v) for k, *v in _ATTRIBUTE.findall(m[0], m.end(2) - opened) if k.lower() == "lang"), "")
         elif name == "head":
             in_head = True
             parts.append(" ")
         elif name in _SKIPPED or name == "title":
-            if lowered is None:
-                lowered = _ascii_lower(body)
-            end = lowered.find("</" + name, at)
+            ending = None if name in unclosed else _END[name].search(body, at)
+            end = -1 if ending is None else ending.start()
+            if ending is None:  # nor will a later one be closed
+                unclosed.add(name)
             if name == "title" and not page.title:
                 page.title = html.unescape(body[at : n if end < 0 else end])
             if name in _SKIPPED or in_head:
-                stop = n if end < 0 else lowered.find(">", end)
+                stop = n if end < 0 else body.find(">", end)
                 at = n if stop < 0 else stop + (end >= 0)
                 if not in_head:
                     parts.append(" ")
-        elif name in _BREAKS and not in_head:
-            parts.append("\n")
+    if not in_head:
+        parts.append(body[at:])
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
     page.text = "\n".join(line for line in lines if line)
     return page
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def _ascii_lower(text: str) -> str:
-    """A-Z lower-cased alone, so that places stay the same."""
-    return text.translate(_LOWER)
-
-
 def plain_text(body: str) -> str:
     """The visible text of a page, a line per block."""
     return scan(body).text
