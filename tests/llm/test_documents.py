@@ -316,6 +316,7 @@ def test_line_dedup_similar_lines(spark):
     lines = [" ".join(words), " ".join(words[:36] + ["x"]), " ".join(words[:30]), " ".join(words[4:] + ["y", "z"]), "a b c d", "a b c d e", "a b c"]
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, lines[1] + "\nnew"), (0, None)], "doc_id long, text string")
     got = {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.line_dedup(frame, with_text=True).collect()}
+    assert {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.line_dedup(frame, with_text=True, hot_classes=1).collect()} == got  # all words hot
     # 30 of the 37 words of the second line are the third's: 0.81; it goes, though it is only 0.75 of the first.
     assert got == {0: ("", ""), 1: ("1,2,3,5", "\n".join(lines[i] for i in (0, 4, 6))), 2: ("0", "new")}
 
