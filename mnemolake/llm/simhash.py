@@ -11,6 +11,7 @@ alternating large-star and small-star rounds.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +37,24 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, second: bool = False) -> tuple[int, int]:
-    """SimHash of the word shingles; and on request one of other bits, from the shingles' hashes mixed again."""
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0, 0
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of the shingles of at least one word, in the order of the text."""
     joined = memoryview(b" ".join(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    k = min(shingle, len(words))
+    k = max(1, min(shingle, len(words)))
     n = len(words) - k + 1
     hashing = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hashing(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((hashing(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, second: bool = False) -> tuple[int, int]:
+    """SimHash of the word shingles; and on request one of other bits, from the shingles' hashes mixed again."""
+    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+    if not words:
+        return 0, 0
+    hashes = _hashes(words, shingle, seed)
     first = _majority(hashes)
     if not second:
         return first, 0
@@ -271,15 +277,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET, id_
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by shingle similarity: the tries find candidates, the shingles decide.
+# Near duplicates by shingle similarity: tries and shared shingles find candidates, the whole sets decide.
 
 #: Words of a shingle under the candidates' fingerprints. An edited word changes two such shingles, where it changes five
 #: of five words, so texts at a Jaccard similarity of 0.8 of the latter differ in some six of 64 bits.
 CANDIDATE_SHINGLE = 2
 #: Tries over each of two fingerprints, bits of the path into them, bits that may differ below, and in the other fingerprint.
 TRIES, PATH_BITS, TRIE_BUDGET, OTHER_BUDGET = 10, 16, 12, 18
-#: Texts of one task and path that are so near are first linked to this many of their nearest each.
+#: Texts of one task and path that are so near are first linked to this many of their nearest each; prefixes find the rest.
 NEAREST = 32
+#: Bits of a set's parity, a multiple of 64.
+SKETCH_BITS = 1024
+#: Documents read to learn which shingles are frequent, documents of these that make one so, and most that are told.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 16
+#: Pairs of rows with one shingle that are compared at once; rows of a shingle that are compared along with other shingles'.
+BLOCK, FEW = 1 << 20, 8
 
 
 def _orders() -> list[np.ndarray]:
@@ -345,6 +357,174 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x[order[k]]) for k in (i, j) for x in (fp, fp2)], names=["a", "a2", "b", "b2"])
 
 
+class _Sets:
+    """What two sets at a Jaccard similarity of ``threshold`` must have in common."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.both = threshold / (1 + threshold)
+
+    def least(self, sizes: np.ndarray) -> np.ndarray:
+        """Members that two sets of these sizes, added up, share."""
+        return np.ceil(sizes * self.both - 1e-9)
+
+    def prefix(self, n: int) -> int:
+        """Members, in any order that all sets keep, among which the first shared one is."""
+        return n - max(1, math.ceil(n * self.threshold - 1e-9)) + 1
+
+    def short_prefix(self, n: np.ndarray) -> np.ndarray:
+        """The same for the smaller set of a pair."""
+        return n - np.maximum(1, self.least(2 * n)) + 1
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    return _hashes(text.lower().split() or [b""], shingle, seed)
+
+
+def _sample(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                found = np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in texts(batch.slice(at, 200))])
+                yield pa.record_batch([pa.array(found.view(np.int64))], names=["token"])
+
+    return run
+
+
+def _frequent(source: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of several sampled documents, from the rarest on. They go last in the order of shingles; any order gives
+    the same links, this one fewer candidates."""
+    some = max(1, source.count() // SAMPLE)
+    tokens = source.where(F.pmod("key", F.lit(some)) == 0).select("key", "text").mapInArrow(_sample(shingle), "token long")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _wide_prints(shingle: int, rules: _Sets, frequent: np.ndarray):
+    """Fingerprints for the tries; key, size, parity bits and prefix of the set of shingles."""
+    places = np.argsort(frequent)
+    known = frequent[places]
+
+    def one(text: bytes) -> tuple:
+        fp, fp2 = fingerprints(text, CANDIDATE_SHINGLE, second=True)
+        members = np.unique(shingle_hashes(text, shingle))
+        raw = members.tobytes()
+        parity = np.packbits((np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+        ordered = members
+        if len(known):
+            at = np.minimum(np.searchsorted(known, members), len(known) - 1)
+            late = known[at] == members
+            ordered = np.concatenate([members[~late], frequent[np.sort(places[at[late]])]])
+        return fp, fp2, xxhash.xxh64_intdigest(raw, 0), xxhash.xxh64_intdigest(raw, 1), len(members), parity, ordered[: rules.prefix(len(members))].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fp, fp2, set1, set2, n, parity, prefix = zip(*map(one, texts(part)))
+                numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2, set1, set2)]
+                arrays = [part.column(0), part.column(2), *numbers, pa.array(n, pa.int64()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+                yield pa.record_batch(arrays, names=["key", "doc_id", "fp", "fp2", "set1", "set2", "n", "parity", "prefix"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole runs of rows (token, key, root, s), sorted by token and root, that hold more than one root: the rows of
+    several such runs as columns, and the runs' edges."""
+    parts: list[np.ndarray] = []
+
+    def crossing(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        edges = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]])
+        lengths = np.diff(edges)
+        some = rows[2, edges[:-1]] != rows[2, edges[1:] - 1]
+        if some.any():
+            yield rows[:, np.repeat(some, lengths)], np.concatenate([[0], np.cumsum(lengths[some])])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy() for c in range(4)])
+        parts.append(rows)
+        start = int(np.searchsorted(rows[0], rows[0, -1]))  # of the last run, which may go on
+        if start or parts[0][0, 0] != rows[0, -1]:
+            ended = np.concatenate([*parts[:-1], rows[:, :start]], axis=1)
+            yield from crossing(ended)
+            parts = [rows[:, start:]]
+    if parts:
+        yield from crossing(np.concatenate(parts, axis=1))
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, _ in _runs(batches):
+        yield pa.record_batch([pa.array(rows[c]) for c in (0, 1, 3)], names=["token", "key", "s"])
+
+
+def _meeting(rules: _Sets, every: bool):
+    """Pairs (a the larger set) of different roots that share a token and may be similar; one for two roots or ``every``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in _runs(batches):
+            lengths = np.diff(edges)
+            found = [*few(rows[:, np.repeat(lengths <= FEW, lengths)])]
+            for low, high in zip(edges[:-1][lengths > FEW].tolist(), edges[1:][lengths > FEW].tolist()):
+                found += many(rows[1:, low:high])
+            if found:
+                pairs = np.concatenate(found, axis=1)
+                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a_key", "b_key"])
+
+    def alike(key: np.ndarray, root: np.ndarray, s: np.ndarray, b, a) -> np.ndarray:
+        n, at = s >> 32, s & ((1 << 32) - 1)
+        rest = n - at
+        near = (root[b] != root[a]) & ((n[b] < n[a]) | ((n[b] == n[a]) & (key[b] < key[a]))) & (n[b] >= n[a] * rules.threshold - 1e-9)
+        return near & (at[b] < rules.short_prefix(n[b])) & (np.minimum(rest[b], rest[a]) >= rules.least(n[b] + n[a]))
+
+    def few(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Every pair of rows of short runs, whatever their roots."""
+        token, key, root, s = rows
+        for apart in range(1, FEW):
+            one = np.flatnonzero(token[apart:] == token[:-apart])
+            for a, b in ((one, one + apart), (one + apart, one)):
+                near = alike(key, root, s, b, a)
+                yield np.stack([key[a[near]], key[b[near]]])
+
+    def many(rows: np.ndarray) -> Iterator[np.ndarray]:
+        key, root, s = rows
+        n, at = s >> 32, s & ((1 << 32) - 1)
+        short = np.flatnonzero(at < rules.short_prefix(n))
+        step = max(1, BLOCK // len(key))
+        for low in range(0, len(short), step):
+            b = short[low : low + step]
+            i, j = np.nonzero(alike(key, root, s, b[:, None], np.arange(len(key))))
+            if not len(i):
+                continue
+            i = b[i]
+            if not every:
+                ends = np.sort(np.stack([root[i], root[j]]), axis=0)
+                _, one = np.unique(ends, axis=1, return_index=True)
+                i, j = i[one], j[one]
+            yield np.stack([key[j], key[i]])
+
+    return run
+
+
+def _parity_allows(rules: _Sets):
+    """Pairs whose parity bits differ in no more places than similar sets' members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+            a_n, b_n = (batch.column(c).to_numpy() for c in (2, 3))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            passed = (apart <= a_n + b_n - 2 * rules.least(a_n + b_n)) & (np.minimum(a_n, b_n) >= np.maximum(a_n, b_n) * rules.threshold - 1e-9)
+            yield pa.record_batch([batch.column(c).filter(pa.array(passed)) for c in (0, 1)], names=["a_key", "b_key"])
+
+    return run
+
+
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,49 +536,65 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
-    words = text.lower().split()
-    k = max(1, min(shingle, len(words)))
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))), np.uint64)
-
-
 def near_by_shingles(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, kept) per distinct document: key is xxhash64 of id and text, see ``common.document_key``; of each group that links
     connect, the smallest id stays (null ids last, then the smallest key).
 
-    Texts are linked at a Jaccard similarity of ``threshold`` of their sets of ``shingle`` words, lower-cased. Candidates
-    come from tries over two 64-bit SimHashes, twenty in all, each behind a path of 16 bits; every candidate is decided
-    by its whole shingle sets. Texts with equal fingerprints meet the first of them. Fewer words than a shingle make one
-    shingle of all; texts without words are equal to each other. Repeated rows are one document. An empty table gives
-    none.
+    Texts are linked at a Jaccard similarity of ``threshold`` of their sets of ``shingle`` words, lower-cased; no such
+    link between groups is lost. Most come from tries over two 64-bit SimHashes, twenty in all, each behind a path of 16
+    bits, where a text meets its nearest. What tries leave apart meets by shared shingles of the sets' prefixes (all
+    sets in one order, sizes and places bound what two can share): first one pair of two groups at each shingle, then
+    every pair of groups that are still apart. Parity bits of the sets rule pairs out, whole sets decide. Equal sets meet
+    by their smallest key alone. Fewer words than a shingle make one shingle of all; texts without words are equal to each
+    other. Repeated rows are one document. An empty table gives none.
     """
+    rules = _Sets(threshold)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(document_key(id_col, text_col).alias("key"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    prints = source.select("key", "text", "doc_id").mapInArrow(_wide_prints, "key long, doc_id long, fp long, fp2 long")
-    prints = cut(prints.dropDuplicates(["key"]), "near-prints")
-    distinct = cut(prints.groupBy("fp", "fp2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    prints = source.select("key", "text", "doc_id").mapInArrow(_wide_prints(shingle, rules, _frequent(source, shingle)), "key long, doc_id long, fp long, fp2 long, set1 long, set2 long, n long, parity binary, prefix array<long>")
+    prints = cut(prints, "near-prints")
+    slim = cut(prints.select("key", "doc_id", "fp", "fp2", "set1", "set2", "n", "parity").dropDuplicates(["key"]), "near-slim")
+    equal = slim.join(slim.groupBy("set1", "set2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("same")).where("same > 1"), ["set1", "set2"]).where("key <> least")
+    equal = cut(equal.select(F.col("key").alias("a"), F.col("least").alias("b")), "near-equal")
+    single = slim.join(equal.select(F.col("a").alias("key")), "key", "left_anti")
+    distinct = cut(single.groupBy("fp", "fp2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "near-distinct")
     found = distinct.select("fp", "fp2").mapInArrow(_spread_wide, "path long, fp long, fp2 long").repartition("path").sortWithinPartitions("path")
     found = found.mapInArrow(_candidates, "a long, a2 long, b long, b2 long").distinct()
     one, other = (distinct.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("first").alias(f"{x}_key")) for x in "ab")
     pairs = found.join(one, ["a", "a2"]).join(other, ["b", "b2"]).select("a_key", "b_key")
-    alike = prints.join(distinct.where("n > 1"), ["fp", "fp2"]).where("key <> first").select(F.col("first").alias("a_key"), F.col("key").alias("b_key"))
-    pairs = cut(pairs.union(alike), "near-pairs")
-    wanted = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
-    sets = source.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
-    sets = cut(sets.dropDuplicates(["key"]), "near-sets")
-    a, b = (sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    sizes = F.size("a_set") + F.size("b_set")
-    links_ = pairs.join(a, "a_key").join(b, "b_key").where(shared * (1 + threshold) >= sizes * threshold - 1e-9)
-    groups = components(links_.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
-    placed = prints.join(groups.withColumnRenamed("node", "key"), "key")
+    alike = single.join(distinct.where("n > 1").select("fp", "fp2", "first"), ["fp", "fp2"]).where("key <> first").select(F.col("first").alias("a_key"), F.col("key").alias("b_key"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        a, b = (slim.select(*[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "parity")]) for x in "ab")
+        pairs = pairs.join(a, "a_key").join(b, "b_key").select("a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity")
+        pairs = cut(pairs.mapInArrow(_parity_allows(rules), "a_key long, b_key long"), "near-pairs")
+        wanted = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
+        sets = source.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+        sets = cut(sets.dropDuplicates(["key"]), "near-sets")
+        a, b = (sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        sizes = F.size("a_set") + F.size("b_set")
+        met = pairs.join(a, "a_key").join(b, "b_key").where(shared * (1 + threshold) >= sizes * threshold - 1e-9)
+        met = cut(met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "near-links")
+        discard(sets)
+        return met
+
+    links_ = linked(pairs.union(alike)).union(equal)
+    groups = components(links_)
+    rooted = prints.select("key", "n", "prefix").join(equal.select(F.col("a").alias("key")), "key", "left_anti")
+    rooted = rooted.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n", F.posexplode("prefix").alias("at", "token"))
+    rows = rooted.select("token", "key", "root", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("s"))
+    rows = cut(rows.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_crossing, "token long, key long, s long"), "near-crossing")
+    discard(prints)
+    for every in (False, True):
+        now = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"), "s")
+        met = now.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_meeting(rules, every), "a_key long, b_key long")
+        more = linked(met.distinct())
+        if not more.isEmpty():
+            links_ = links_.union(more)
+            groups = components(links_)
+    placed = slim.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
     kept = placed.join(best, "root").select("key", (F.col("key") == F.col("best.key")).alias("stays"))
-    discard(sets)
-    return prints.select("key").join(kept, "key", "left").select("key", F.coalesce("stays", F.lit(True)).alias("kept"))
-
-
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprints(t, CANDIDATE_SHINGLE, second=True) for t in texts(batch)], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "doc_id", "fp", "fp2"])
+    return slim.select("key").join(kept, "key", "left").select("key", F.coalesce("stays", F.lit(True)).alias("kept"))

@@ -450,3 +450,37 @@ def test_near_duplicates_by_shingles(spark):
     assert len(kept) == len(known) and 0.9 * should <= gone <= should
     assert all(sum(kept[k] for k in g) >= 1 and kept[min(g, key=lambda k: (k[0] is None, k[0] or 0))] for g in groups.values())
     assert simhash.near_by_shingles(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", ["equal prints", "near prints", "far prints", "frequent shingles"])
+def test_near_duplicates_lose_no_link(spark, crowd, monkeypatch):
+    """Texts whose fingerprints are alike but for chance, or whose similar ones are far off, against all pairs."""
+    import random
+
+    rng = random.Random(9)
+    own, same, edits = {"equal prints": (120, 400, 1), "near prints": (700, 100, 8), "far prints": (22, 0, 0), "frequent shingles": (40, 0, 1)}[crowd]
+    if crowd == "frequent shingles":
+        monkeypatch.setattr(simhash, "NEAREST", 1)
+        monkeypatch.setattr(simhash, "BLOCK", 100)
+    notice = [f"notice{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(own)]
+        for k in range(3):
+            edited = words.copy()
+            for at in rng.sample(range(own), edits):
+                edited[at] = f"edited{rng.randrange(100)}"
+            if crowd == "far prints" and k:
+                edited += [f"more{k}{rng.randrange(10**6)}" for _ in range(2 * k)]
+            front = ["a"] * same + (notice if crowd == "frequent shingles" else [])
+            rows.append((10 * i + k, " ".join(front + edited)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = {r.key: r.doc_id for r in frame.withColumn("key", common.document_key()).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    roots = _components(set(sets), linked=near)
+    got = {keys[r.key]: r.kept for r in simhash.near_by_shingles(frame).collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(roots[i], i)
+    assert got == {i: first[roots[i]] == i for i in sets} and len(first) < len(sets)
