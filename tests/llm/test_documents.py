@@ -484,3 +484,24 @@ def test_near_duplicates_lose_no_link(spark, crowd, monkeypatch):
     for i in sorted(sets):
         first.setdefault(roots[i], i)
     assert got == {i: first[roots[i]] == i for i in sets} and len(first) < len(sets)
+
+
+def test_line_dedup_shuffles_prefixes_in_slices(spark):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(400)]
+    lines = [rng.sample(vocabulary, 100) for _ in range(400)]
+    lines += [line[:-3] + ["other", "words", "here"] for line in lines[:50]]
+    frame = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    got = {r.doc_id for r in line_dedup.line_dedup(frame).collect() if r.n_removed}
+    assert got == set(range(400, 450))
+    most = max(n for stage, n in stages().items() if stage not in before)
+    assert most <= 0.6 * 21 * len(lines)  # of 21 words in a prefix
