@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import cut
+from mnemolake.llm.common import LONGEST_KEPT, cut, sliced
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, about 200 bytes each.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a Python worker remembers in a task, about 200 bytes each.
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -55,10 +55,14 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.half = cache_words // 2
         # Two generations: what the younger lacks is taken over from the older, which is dropped when the younger is full.
-        self.young, self.old = {"": b""}, {}
+        self.forget()
         self.marks = {mark: self._whole(mark) for mark in ".,"}
         self.letters = {chr(c): "".join(map(_BYTE_LETTERS.__getitem__, chr(c).encode())) for c in range(0x80, 0x250)}
 
+    def forget(self) -> None:
+        """Empty the memory of words, so that a worker's next task, of whatever stage, finds its memory free."""
+        self.young, self.old = {"": b""}, {}
+
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
         """The worker's own, kept between tasks."""
@@ -84,7 +88,8 @@ class WordTokenizer:
                     found = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
             else:
                 found = self._whole(word)
-        self.young[word] = found
+        if len(word) <= LONGEST_KEPT:
+            self.young[word] = found
         return found
 
     def ids(self, text: str) -> np.ndarray:
@@ -131,10 +136,10 @@ _BYTE_LETTERS = _byte_letters()
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, ranks = WordTokenizer.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    def cut_up(tokenizer: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sliced(batches):
             at, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 codes = np.concatenate([tokenizer.ids(text.as_py() or ""), end])
@@ -151,6 +156,13 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             ]
             yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = WordTokenizer.of(path)
+        try:
+            yield from cut_up(tokenizer, batches)
+        finally:
+            tokenizer.forget()
+
     return run
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from mnemolake.llm.common import cut
+from mnemolake.llm.common import LONGEST_KEPT, cut, sliced
 
 #: Labelled rows used for fitting, those with the smallest hashes of their ids: a documented bound.
 TRAINING_ROWS = 20_000
@@ -40,7 +40,8 @@ PURITY = 20
 #: Chance that any term at all qualifies where labels say nothing; with it the test is as strict as there are terms.
 CHANCE = 0.01
 FITTING_TASKS = 24
-CACHE_WORDS = 400_000
+#: Words whose match a Python worker remembers; most words leave the automaton after some letters, so few are worth it.
+CACHE_WORDS = 50_000
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!0-9_]+[^\W_]+)*")
 _REPORTING = frozenset("said says quote quoted quotes called cited reported wrote written word words term insult slur citation dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -148,9 +149,11 @@ class Matcher:
         try:
             return self.cache[word]
         except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = self._run(word)
+            found = self._run(word)
+            if len(word) <= LONGEST_KEPT:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[word] = found
             return found
 
     def _run(self, word: str) -> tuple[int, str] | None:
@@ -240,7 +243,7 @@ def _document_counts(wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(_terms(text) if wanted is None else _terms(text) & wanted.value)
         terms = list(counts)
@@ -346,7 +349,7 @@ def _edited(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, counts = shared.value.matcher(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts.update({(hit[1], hit[0]) for w in set(_WORD.findall((text or "").lower())) if (hit := matcher.word(w)) and hit[0]})
         terms = list(counts)
@@ -358,7 +361,7 @@ def _edited(shared):
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value.matcher()
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([features(t or "", matcher) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
             yield pa.record_batch([batch.column(1).cast(pa.int32()), *(pa.array(found[:, k]) for k in range(4))], names=["toxic", "a", "b", "c", "d"])
 
@@ -373,7 +376,7 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             p = scores(batch.column(1).to_pylist(), shared.value)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -390,13 +393,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text scores under 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+def _clean(shared, at: int):
+    """The rows whose text, the column at ``at``, scores under 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist(), shared.value) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text scores under 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_clean(shared, docs.columns.index(text_col)), docs.schema)

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -394,6 +397,48 @@ def test_misspelt_terms_count_for_toxicity():
     assert (w[1:] >= 0).all()
 
 
+def _task(run, batch):
+    """The batches that a task gives, and the most MB of Python objects that it held meanwhile."""
+    tracemalloc.start()
+    try:
+        return list(run(iter([batch]))), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_of_texts_is_scored_a_slice_at_a_time():
+    model = toxicity.Model([], ["worthless"], [-4.0, 0.0, 9.0], edits={"worthless": 2})
+    texts = [f"you worthless {i}" if i % 5 == 0 else "é" * 8000 for i in range(4000)]
+    batch = pa.record_batch([pa.array(range(4000), pa.int64()), pa.array(texts), pa.array([False] * 4000)], names=["doc_id", "text", "held_out"])
+    scored, most = _task(toxicity._score(types.SimpleNamespace(value=model)), batch)
+    assert [p for b in scored for p in b.column(3).to_pylist()] == [int(i % 5 == 0) for i in range(4000)]
+    assert most < 12  # 26 MB of texts
+    clean, most = _task(toxicity._clean(types.SimpleNamespace(value=model), 1), batch)
+    assert [i for b in clean for i in b.column(0).to_pylist()] == [i for i in range(4000) if i % 5]
+    assert most < 12 and sum(b.num_rows for b in toxicity._clean(types.SimpleNamespace(value=model), 1)(iter([batch.slice(0, 0)]))) == 0
+
+
+def test_words_remembered_are_few_and_short():
+    matcher = toxicity.Matcher(["idiot"], [])
+    for i in range(120_000):
+        assert matcher.word(f"word{i}") is None
+    assert matcher.word("idiot" + "x" * 5000) == (0, "idiot") and len(matcher.cache) <= 100_000
+    assert max(map(len, matcher.cache)) <= 64
+
+
+def test_packing_forgets_words_after_a_task(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    path = packing.tokenizer_path()
+    batch = pa.record_batch([pa.array(range(600), pa.int64()), pa.array([f"some words{i} " + "long" * 50 for i in range(600)])], names=["doc_id", "text"])
+    known, seen = packing.WordTokenizer.of(path), set()
+    for got in packing._pieces(path, 4096, 1, True)(iter([batch])):
+        for i, raw in zip(got.column(0).to_pylist(), got.column(7).to_pylist()):
+            assert np.frombuffer(raw, "<u4").tolist() == [*known.tokenizer.encode(batch.column(1)[i].as_py(), add_special_tokens=False).ids, 1]
+            seen.add(i)
+        assert max(map(len, known.young)) <= 64
+    assert seen == set(range(600)) and len(known.young) + len(known.old) <= 1
+
+
 def test_toxicity_with_a_hot_group_of_copies(spark):
     copies = [(i, "one and the same copied text is here", 1) for i in range(1500)]
     toxic = [(10_000 + i, f"unlike{i} words{i * 3} here{i * 5} badterm and filler{i}", 1) for i in range(12)]
