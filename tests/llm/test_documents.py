@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mnemolake.llm import common, exact_dedup, license_scan, line_dedup, mixing, packing, simhash, substring_dedup, toxicity
 from tests.llm import data
@@ -550,3 +551,58 @@ def test_line_dedup_shuffles_prefixes_in_slices(spark):
     assert got == set(range(400, 450))
     most = max(n for stage, n in stages().items() if stage not in before)
     assert most <= 0.6 * 21 * len(lines)  # of 21 words in a prefix
+
+
+def _shuffled(spark, run):
+    """What ``run`` gives, and the records shuffled by each of its stages."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    got = run()
+    return got, [n for stage, n in stages().items() if stage not in before]
+
+
+def test_line_dedup_tells_chance_pairs_of_large_sets_in_the_join(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(1000)]
+    lines = [rng.sample(vocabulary, 150) for _ in range(300)]
+    lines += [line[:-4] + ["other", "words", "are", "here"] for line in lines[:20]]
+    classes = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i long, words array<string>")
+    keys = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    classes = classes.select("i", keys.alias("keys")).select("i", "keys", F.struct("i").alias("head"), line_dedup._parity(F.col("keys")).alias("parity"), line_dedup._lane(F.col("keys"), F.size("keys")).alias("lane"))
+    s = F.shiftleft(F.lit(150).cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    rows = classes.select(F.col("i").alias("k1"), "parity", "lane", "head", F.posexplode(F.slice("keys", 1, 31)).alias("at", "key")).withColumn("s", s)
+    met = {tuple(r) for r in line_dedup._Candidates(4, 5).join(rows, rows, "key").distinct().collect()}
+    true = {(300 + i, i) for i in range(20)}
+    assert true <= met and len(met) < 200  # of 50,000 pairs, of which one lane allows half
+
+
+def test_line_dedup_counts_words_in_some_lines_and_keys_are_longs(spark):
+    frame = spark.createDataFrame([(" ".join(f"w{i * 7 + k}" for k in range(100)),) for i in range(800)], "line string")
+    rarity, records = _shuffled(spark, lambda: line_dedup._classes_of_rarity(frame))
+    got = frame.select(line_dedup._keys(F.col("line"), rarity).alias("keys"))
+    assert not got.schema["keys"].dataType.containsNull
+    classes = {k >> 58 for r in got.collect() for k in r["keys"]}
+    assert sum(records) < 800 * 100 / 4 and max(classes) in (6, 7, 8)  # words stand in 14 or 15 lines, some share a bucket
+
+
+def test_line_dedup_does_not_depend_on_how_rare_words_are(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(120)]
+    lines = [rng.sample(vocabulary, 20) for _ in range(60)]
+    lines += [line[: 20 - i % 4] + ["more", "words"][: i % 3] for i, line in enumerate(lines)]
+    frame = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    sets = [set(line) for line in lines]
+    want = {i for i, a in enumerate(sets) if any(5 * len(a & b) >= 4 * len(a | b) for b in sets[:i])}
+    for counted, hot in ((1, 4096), (line_dedup.COUNTED, 4096), (1 << 30, 4096), (1 << 30, 3)):
+        monkeypatch.setattr(line_dedup, "COUNTED", counted)
+        assert {r.doc_id for r in line_dedup.line_dedup(frame, hot_classes=hot).collect() if r.n_removed} == want
