@@ -606,3 +606,34 @@ def test_line_dedup_does_not_depend_on_how_rare_words_are(spark, monkeypatch):
     for counted, hot in ((1, 4096), (line_dedup.COUNTED, 4096), (1 << 30, 4096), (1 << 30, 3)):
         monkeypatch.setattr(line_dedup, "COUNTED", counted)
         assert {r.doc_id for r in line_dedup.line_dedup(frame, hot_classes=hot).collect() if r.n_removed} == want
+
+
+def test_line_dedup_shuffles_prefixes_once(spark):
+    import random
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    rng = random.Random(7)
+    s = lambda at: 100 << 32 | at
+    rows = [(key, i, s(at), i, None, i) for i in range(330) for at, key in enumerate(rng.sample(range(3000), 21))]
+    rows = common.cut(spark.createDataFrame(rows, "key long, k1 long, s long, parity long, lane long, id long"))
+    some = rows.where("key is not null and s is not null").repartition("key")
+    try:
+        _, records = _shuffled(spark, line_dedup._Candidates(4, 5).join(some, some, "key").collect)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(records) == 330 * 21, records  # both sides of the join would be more
+
+
+def test_line_dedup_lines_of_one_document_and_of_none(spark):
+    words = [f"w{i}" for i in range(40)]
+    # By number of line, the larger set is the later one and the earlier one; ids are shared, or there are none.
+    lines = [words[:36], words, ["a", *words[10:]], [*words[12:], "b"], words[:37]]
+    sets = [set(line) for line in lines]
+    want = ",".join(str(i) for i, a in enumerate(sets) if any(5 * len(a & b) >= 4 * len(a | b) for b in sets[:i]))
+    text = "\n".join(map(" ".join, lines))
+    for i in (1, None):
+        frame = spark.createDataFrame([(i, text)], "doc_id long, text string")
+        for hot in (4096, 1):
+            assert [(r.n_lines, r.removed_lines) for r in line_dedup.line_dedup(frame, hot_classes=hot).collect()] == [(5, want)]
