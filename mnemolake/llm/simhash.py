@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import cut, discard, document_key, texts
@@ -286,8 +287,12 @@ CANDIDATE_SHINGLE = 2
 TRIES, PATH_BITS, TRIE_BUDGET, OTHER_BUDGET = 10, 16, 12, 18
 #: Texts of one task and path that are so near are first linked to this many of their nearest each; prefixes find the rest.
 NEAREST = 32
-#: Bits of a set's parity, a multiple of 64.
-SKETCH_BITS = 1024
+#: Bits of a set's parity, powers of two: at least and at most. Between them as many as members, or up to twice as many.
+SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 15
+#: Bytes that a slice of pairs moves in one join: so many for each shingle of the input (about half of its Parquet), and at least.
+MOVED, LEAST_MOVED = 2, 1 << 28
+#: Most keys that are told to all tasks to find their texts; more are joined, a slice of the texts at a time.
+TOLD, TEXT_SLICES = 1 << 17, 4
 #: Documents read to learn which shingles are frequent, documents of these that make one so, and most that are told.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 16
 #: Pairs of rows with one shingle that are compared at once; rows of a shingle that are compared along with other shingles'.
@@ -401,6 +406,12 @@ def _frequent(source: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
 
 
+def _parity(members: np.ndarray) -> bytes:
+    """Of how many members each residue of the hash is that of, but for multiples of two."""
+    bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, 1 << (len(members) - 1).bit_length()))
+    return np.packbits((np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _wide_prints(shingle: int, rules: _Sets, frequent: np.ndarray):
     """Fingerprints for the tries; key, size, parity bits and prefix of the set of shingles."""
     places = np.argsort(frequent)
@@ -410,7 +421,7 @@ def _wide_prints(shingle: int, rules: _Sets, frequent: np.ndarray):
         fp, fp2 = fingerprints(text, CANDIDATE_SHINGLE, second=True)
         members = np.unique(shingle_hashes(text, shingle))
         raw = members.tobytes()
-        parity = np.packbits((np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+        parity = _parity(members)
         ordered = members
         if len(known):
             at = np.minimum(np.searchsorted(known, members), len(known) - 1)
@@ -462,7 +473,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meeting(rules: _Sets, every: bool):
-    """Pairs (a the larger set) of different roots that share a token and may be similar; one for two roots or ``every``."""
+    """Pairs (a the larger set) of different roots that share a token and may be similar, and their sizes' sum; one for two
+    roots or ``every``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in _runs(batches):
@@ -472,7 +484,7 @@ def _meeting(rules: _Sets, every: bool):
                 found += many(rows[1:, low:high])
             if found:
                 pairs = np.concatenate(found, axis=1)
-                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a_key", "b_key"])
+                yield pa.record_batch([pa.array(x) for x in pairs], names=["a_key", "b_key", "n"])
 
     def alike(key: np.ndarray, root: np.ndarray, s: np.ndarray, b, a) -> np.ndarray:
         n, at = s >> 32, s & ((1 << 32) - 1)
@@ -487,7 +499,7 @@ def _meeting(rules: _Sets, every: bool):
             one = np.flatnonzero(token[apart:] == token[:-apart])
             for a, b in ((one, one + apart), (one + apart, one)):
                 near = alike(key, root, s, b, a)
-                yield np.stack([key[a[near]], key[b[near]]])
+                yield np.stack([key[a[near]], key[b[near]], (s[a[near]] >> 32) + (s[b[near]] >> 32)])
 
     def many(rows: np.ndarray) -> Iterator[np.ndarray]:
         key, root, s = rows
@@ -504,27 +516,46 @@ def _meeting(rules: _Sets, every: bool):
                 ends = np.sort(np.stack([root[i], root[j]]), axis=0)
                 _, one = np.unique(ends, axis=1, return_index=True)
                 i, j = i[one], j[one]
-            yield np.stack([key[j], key[i]])
+            yield np.stack([key[j], key[i], n[j] + n[i]])
 
     return run
 
 
 def _parity_allows(rules: _Sets):
-    """Pairs whose parity bits differ in no more places than similar sets' members."""
+    """Pairs whose parity bits differ in no more places than similar sets' members. The longer parity of two folds into
+    the shorter one's length. A parity much shorter than its set would let chance pairs pass."""
+
+    def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        lengths = np.array([list(map(len, a)), list(map(len, b))])
+        for la, lb in np.unique(lengths, axis=1).T.tolist():
+            rows = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+            least = min(la, lb) // 8
+            for at in range(0, len(rows), 1000):
+                part = rows[at : at + 1000].tolist()
+                folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(x[i] for i in part), np.uint64).reshape(len(part), -1, least), axis=1) for x in (a, b)]
+                out[part] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
             a_n, b_n = (batch.column(c).to_numpy() for c in (2, 3))
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            passed = (apart <= a_n + b_n - 2 * rules.least(a_n + b_n)) & (np.minimum(a_n, b_n) >= np.maximum(a_n, b_n) * rules.threshold - 1e-9)
-            yield pa.record_batch([batch.column(c).filter(pa.array(passed)) for c in (0, 1)], names=["a_key", "b_key"])
+            passed = (apart(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= a_n + b_n - 2 * rules.least(a_n + b_n)) & (np.minimum(a_n, b_n) >= np.maximum(a_n, b_n) * rules.threshold - 1e-9)
+            yield pa.record_batch([batch.column(c).filter(pa.array(passed)) for c in (0, 1)] + [pa.array((a_n + b_n)[passed])], names=["a_key", "b_key", "n"])
 
     return run
 
 
+def _sliced(pairs: DataFrame, moved: Column, at_once: int, step: Callable[[Callable[[str], Column]], DataFrame], name: str) -> DataFrame:
+    """``step`` of the pairs, in as many slices by ``a_key`` as keep what a slice moves near ``at_once`` bytes, so that disk
+    does not grow with the pairs. ``step`` gets a condition on a key, ``moved`` the bytes of a pair."""
+    slices = -(-int(pairs.agg(F.sum(moved)).first()[0] or 0) // at_once) or 1
+    within = lambda i: lambda key: F.pmod(F.xxhash64(key), F.lit(slices)) == i
+    return reduce(DataFrame.union, [cut(step(within(i)), name) for i in range(slices)])
+
+
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -544,7 +575,8 @@ def near_by_shingles(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     link between groups is lost. Most come from tries over two 64-bit SimHashes, twenty in all, each behind a path of 16
     bits, where a text meets its nearest. What tries leave apart meets by shared shingles of the sets' prefixes (all
     sets in one order, sizes and places bound what two can share): first one pair of two groups at each shingle, then
-    every pair of groups that are still apart. Parity bits of the sets rule pairs out, whole sets decide. Equal sets meet
+    every pair of groups that are still apart. Parity bits of the sets rule pairs out, whole sets decide, both for a slice
+    of the pairs at a time, so that their shuffles do not pile up. Equal sets meet
     by their smallest key alone. Fewer words than a shingle make one shingle of all; texts without words are equal to each
     other. Repeated rows are one document. An empty table gives none.
     """
@@ -557,26 +589,45 @@ def near_by_shingles(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     equal = slim.join(slim.groupBy("set1", "set2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("same")).where("same > 1"), ["set1", "set2"]).where("key <> least")
     equal = cut(equal.select(F.col("key").alias("a"), F.col("least").alias("b")), "near-equal")
     single = slim.join(equal.select(F.col("a").alias("key")), "key", "left_anti")
-    distinct = cut(single.groupBy("fp", "fp2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    distinct = single.groupBy("fp", "fp2").agg(F.min(F.struct("key", "n")).alias("least"), F.count(F.lit(1)).alias("same"))
+    distinct = cut(distinct.select("fp", "fp2", F.col("least.key").alias("first"), F.col("least.n").alias("first_n"), "same"), "near-distinct")
     found = distinct.select("fp", "fp2").mapInArrow(_spread_wide, "path long, fp long, fp2 long").repartition("path").sortWithinPartitions("path")
     found = found.mapInArrow(_candidates, "a long, a2 long, b long, b2 long").distinct()
-    one, other = (distinct.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("first").alias(f"{x}_key")) for x in "ab")
-    pairs = found.join(one, ["a", "a2"]).join(other, ["b", "b2"]).select("a_key", "b_key")
-    alike = single.join(distinct.where("n > 1").select("fp", "fp2", "first"), ["fp", "fp2"]).where("key <> first").select(F.col("first").alias("a_key"), F.col("key").alias("b_key"))
+    one, other = (distinct.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("first").alias(f"{x}_key"), F.col("first_n").alias(f"{x}_n")) for x in "ab")
+    pairs = found.join(one, ["a", "a2"]).join(other, ["b", "b2"]).select("a_key", "b_key", (F.col("a_n") + F.col("b_n")).alias("n"))
+    alike = single.join(distinct.where("same > 1").select("fp", "fp2", "first", "first_n"), ["fp", "fp2"]).where("key <> first").select(F.col("first").alias("a_key"), F.col("key").alias("b_key"), (F.col("n") + F.col("first_n")).alias("n"))
+    at_once = max(LEAST_MOVED, MOVED * (slim.agg(F.sum("n")).first()[0] or 0))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """key, shingles of the wanted texts."""
+        texts_ = source.select("key", "text")
+        whole = lambda rows: cut(rows.dropDuplicates(["key"]).mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>"), "near-sets")
+        if wanted.count() <= TOLD:
+            return whole(texts_.join(F.broadcast(wanted), "key", "left_semi"))
+        mine = lambda df, i: df.where(F.pmod("key", F.lit(TEXT_SLICES)) == i)
+        return reduce(DataFrame.union, [whole(mine(texts_, i).join(mine(wanted, i), "key", "left_semi")) for i in range(TEXT_SLICES)])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
+        """The pairs (a, b) that are similar, of pairs with their sizes' sum."""
+        pairs = cut(pairs, "near-met")
         a, b = (slim.select(*[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "parity")]) for x in "ab")
-        pairs = pairs.join(a, "a_key").join(b, "b_key").select("a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity")
-        pairs = cut(pairs.mapInArrow(_parity_allows(rules), "a_key long, b_key long"), "near-pairs")
-        wanted = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
-        sets = source.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
-        sets = cut(sets.dropDuplicates(["key"]), "near-sets")
-        a, b = (sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+
+        def possible(mine: Callable[[str], Column]) -> DataFrame:
+            rows = pairs.where(mine("a_key")).select("a_key", "b_key").join(a.where(mine("a_key")), "a_key").join(b, "b_key")
+            return rows.select("a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(_parity_allows(rules), "a_key long, b_key long, n long")
+
+        near = _sliced(pairs, F.col("n") / 8 + SKETCH_BITS / 8, at_once, possible, "near-pairs")
+        discard(pairs)
+        sets = sets_of(cut(near.select(F.col("a_key").alias("key")).union(near.select("b_key")).distinct(), "near-wanted"))
+        a_sets, b_sets = (sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
         shared = F.size(F.array_intersect("a_set", "b_set"))
         sizes = F.size("a_set") + F.size("b_set")
-        met = pairs.join(a, "a_key").join(b, "b_key").where(shared * (1 + threshold) >= sizes * threshold - 1e-9)
-        met = cut(met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "near-links")
+
+        def similar(mine: Callable[[str], Column]) -> DataFrame:
+            rows = near.where(mine("a_key")).join(a_sets.where(mine("a_key")), "a_key").join(b_sets, "b_key")
+            return rows.where(shared * (1 + threshold) >= sizes * threshold - 1e-9).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+        met = _sliced(near, F.col("n") * 4 + 32, at_once, similar, "near-links")
         discard(sets)
         return met
 
@@ -589,7 +640,7 @@ def near_by_shingles(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     discard(prints)
     for every in (False, True):
         now = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"), "s")
-        met = now.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_meeting(rules, every), "a_key long, b_key long")
+        met = now.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_meeting(rules, every), "a_key long, b_key long, n long")
         more = linked(met.distinct())
         if not more.isEmpty():
             links_ = links_.union(more)

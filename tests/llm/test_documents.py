@@ -532,6 +532,40 @@ def test_near_duplicates_lose_no_link(spark, crowd, monkeypatch):
     assert got == {i: first[roots[i]] == i for i in sets} and len(first) < len(sets)
 
 
+def test_near_duplicates_in_slices(spark, monkeypatch):
+    """Chance pairs of long texts end at their parity; pairs and texts of several slices lose no link."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (6000, 6000, 7400)]
+    sets += [np.concatenate([s[100:], rng.integers(0, 1 << 63, 90).astype(np.uint64)]) for s in sets] + [sets[1][:4000]]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    columns = [[a for a, _ in pairs], [b for _, b in pairs], [len(sets[a]) for a, _ in pairs], [len(sets[b]) for _, b in pairs]]
+    parity = [pa.array([simhash._parity(sets[p[e]]) for p in pairs], pa.binary()) for e in (0, 1)]
+    batch = pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], *parity], names=["a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity"])
+    passed = [p for out in simhash._parity_allows(simhash._Sets(0.8))([batch]) for p in zip(*[out.column(c).to_pylist() for c in (0, 1)])]
+    assert passed == [(3, 0), (4, 1), (5, 2)]
+
+    monkeypatch.setattr(simhash, "MOVED", 0)
+    monkeypatch.setattr(simhash, "LEAST_MOVED", 1 << 10)
+    monkeypatch.setattr(simhash, "TOLD", 1)
+    cuts = []
+    monkeypatch.setattr(simhash, "cut", lambda df, name: cuts.append(name) or common.cut(df, name))
+    words = random.Random(5)
+    rows = []
+    for i in range(12):
+        text = [f"w{words.randrange(10**6)}" for _ in range(100)]
+        rows += [(10 * i + k, " ".join([*text[:50], *[f"new{k}"] * k, *text[50:]])) for k in range(3)]
+    frame = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    keys = {r.key: r.doc_id for r in frame.withColumn("key", common.document_key()).collect()}
+    got = {keys[r.key]: r.kept for r in simhash.near_by_shingles(frame).collect()}
+    assert got == {i: i % 10 == 0 for i, _ in rows}
+    assert cuts.count("near-pairs") > 3 and cuts.count("near-links") > 3 and cuts.count("near-sets") > 3
+
+
 def test_line_dedup_shuffles_prefixes_in_slices(spark):
     import random
 
