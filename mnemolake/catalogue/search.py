@@ -56,7 +56,7 @@ def text_search_in_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'zzzunknownzzz' AS query, 0::BIGINT AS n UNION ALL SELECT 'license', count(*) FROM documents WHERE list_contains(" + tokens_sql(clean_sql("text")) + ", 'license')")
 def text_gate_no_match(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
+    index = fulltext.counted(_index(spark, d), ["zzzunknownzzz", "license"], ("text", "name"))
     count = lambda q: fulltext.matches(index, q, where=F.col("namespace") == "library").agg(F.count(F.lit(1)).alias("n")).select(F.lit(q).alias("query"), "n")
     return count("zzzunknownzzz").union(count("license"))
 

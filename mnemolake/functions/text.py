@@ -14,6 +14,7 @@ _FOLDED = {"　": " ", "‘": "'", "’": "'", "“": '"', "”": '"', **_FULL_W
 _WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Capital sigma is folded first: lower-casing must not depend on where in a word it stands.
 _TRANSLATED = {**_FOLDED, "Σ": "σ"}
+_ANY_TRANSLATED = "[Σ\u3000\u2018\u2019\u201c\u201d\uff01-\uff5e]"
 
 
 def _c(value: Column | str) -> Column:
@@ -26,14 +27,15 @@ def let(value: Column, body) -> Column:
 
 
 def trim_unicode(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(text), F.lit(_WHITE_SPACE))
 
 
 def normalize_text(text: Column | str) -> Column:
     """Trimmed, full width and curly quotes folded, lower case."""
     text = _c(text)
     folded = F.translate(trim_unicode(text), "".join(_TRANSLATED), "".join(_TRANSLATED.values()))
-    return F.when(_is_ascii(text), F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(F.lower(folded))
+    plain = F.lower(F.trim(text, F.lit(" \t\n\x0b\x0c\r")))
+    return F.when(_is_ascii(text), plain).when(text.rlike(_ANY_TRANSLATED), F.lower(folded)).otherwise(F.lower(trim_unicode(text)))
 
 
 def _is_ascii(text: Column) -> Column:
@@ -59,7 +61,7 @@ def tokenize(text: Column | str) -> Column:
         return F.when(run.rlike(f"^[{CJK}]"), F.when(F.size(chars) > 1, F.concat(chars, pairs)).otherwise(chars)).otherwise(F.array(run))
 
     mixed = F.lit(rf"[{CJK}]+|[\p{{IsAlphabetic}}\p{{N}}_&&[^{CJK}]]+")
-    plain, ascii_words = F.lit(r"[\p{IsAlphabetic}\p{N}_]+"), F.lit("[a-z0-9_]+")
+    plain, ascii_words = F.lit(r"[a-z0-9_\p{IsAlphabetic}\p{N}]+"), F.lit("[a-z0-9_]+")
     words = lambda t, pattern: F.regexp_extract_all(t, pattern, F.lit(0))
     return let(
         normalize_text(text),
@@ -111,9 +113,16 @@ MARKDOWN_PASSES = (
 )
 
 
+#: Where this is not found, no pass of the cleaner finds anything.
+MARKDOWN_SIGNS = r"(?dUm)[<#*_\[`>|]|^[-+\d]|---"
+
+
 def clean_markdown(text: Column | str) -> Column:
     """Readable text without Markdown marks."""
-    out = _c(text)
+    return let(_c(text), lambda t: F.when(t.rlike(MARKDOWN_SIGNS), _without_marks(t)).otherwise(trim_unicode(t)))
+
+
+def _without_marks(out: Column) -> Column:
     for pattern, replacement in MARKDOWN_PASSES:
         out = F.regexp_replace(out, "(?dU)" + pattern, replacement)
     return trim_unicode(out)

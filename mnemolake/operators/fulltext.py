@@ -1,8 +1,7 @@
 """BM25 full-text search.
 
-Over token arrays (``TextIndex``) a search is two narrow scans: one aggregates the corpus statistics and the document
-frequency of its few terms to a single row, one scores each row by itself and keeps the best; nothing is shuffled. Over
-stored postings (``StoredIndex``) the terms' hash buckets prune the scan to a few files, and only matching postings meet.
+Over token arrays (``TextIndex``) a search makes tokens once, in a narrow scan that writes each document's lengths and the
+counts of its few terms to the shared folder (``Counts``); statistics and scores are narrow scans of that. Over stored postings (``StoredIndex``) the terms' hash buckets prune the scan to a few files, and only matching postings meet.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as T
+from mnemolake.operators.materialize import settle
 
 K1, B = 1.2, 0.75
 NAME_BOOST = 3.0
@@ -33,24 +33,15 @@ class TextIndex:
     def build(cls, documents: DataFrame) -> TextIndex:
         return cls(documents.select(*HEADER, *[T.tokenize(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS]))
 
-    def _counted(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
-        """Header, dl_<field> and tf_<field>_<i> of every document. The generator keeps tokens from being made per term."""
-        times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
-        lengths = [F.size(f).alias(f"dl_{f}") for f in fields]
+    def counted(self, terms: list[str], fields: tuple[str, ...]) -> Counts:
+        """dl_<field> and tf_<field>_<i> of every document, from one pass over the texts: searches that share it make no token
+        again. Tokens that are no terms go first, and generators keep tokens from being made per term."""
+        terms = list(dict.fromkeys(terms))
+        held = [x for f in fields for x in (F.size(f).alias(f"dl_{f}"), F.filter(f, lambda t: t.isin(terms)).alias(f"held_{f}"))]
+        times = lambda f, t: F.size(F.filter(f"held_{f}", lambda x: x == t))
         counts = [times(f, t).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)]
-        return self.tokens.select(*HEADER, F.inline(F.array(F.struct(*lengths, *counts))))
-
-    def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
-        """Statistics over all documents, whatever a search filters, and the terms' frequencies: one row."""
-        sums = [F.avg(f"dl_{f}") for f in fields] + [F.count_if(F.col(f"tf_{f}_{i}") > 0) for f in fields for i in range(len(terms))]
-        n, *rest = self._counted(terms, fields).agg(F.count(F.lit(1)), *sums).first()
-        found = iter(rest[len(fields) :])
-        return Profile(n, dict(zip(fields, rest)), {(f, t): next(found) for f in fields for t in terms})
-
-    def frequencies(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
-        """The counts of the documents that hold any of the terms."""
-        some = [F.col(f"tf_{f}_{i}") > 0 for f in fields for i in range(len(terms))]
-        return self._counted(terms, fields).where(reduce(lambda a, b: a | b, some))
+        rows = self.tokens.select(*HEADER, F.inline(F.array(F.struct(*held))))
+        return Counts(settle(rows.select(*HEADER, *[f"dl_{f}" for f in fields], *counts)), terms)
 
     def postings(self) -> DataFrame:
         """bucket, term, field, id, tf, dl of the whole corpus, for storing."""
@@ -65,6 +56,33 @@ class TextIndex:
         return StoredIndex(self.tokens.sparkSession, folder)
 
 
+@dataclass(frozen=True)
+class Counts:
+    """What searches for some terms read: ``rows`` has the header, dl_<field> and tf_<field>_<i> of every document."""
+
+    rows: DataFrame
+    terms: list[str]
+
+    def counted(self, terms: list[str], fields: tuple[str, ...]) -> Counts:
+        return self
+
+    def _tf(self, field: str, term: str) -> str:
+        return f"tf_{field}_{self.terms.index(term)}"
+
+    def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
+        """Statistics over all documents, whatever a search filters, and the terms' frequencies: one row."""
+        sums = [F.avg(f"dl_{f}") for f in fields] + [F.count_if(F.col(self._tf(f, t)) > 0) for f in fields for t in terms]
+        n, *rest = self.rows.agg(F.count(F.lit(1)), *sums).first()
+        found = iter(rest[len(fields) :])
+        return Profile(n, dict(zip(fields, rest)), {(f, t): next(found) for f in fields for t in terms})
+
+    def frequencies(self, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
+        """The counts of the documents that hold any of the terms."""
+        some = [F.col(self._tf(f, t)) > 0 for f in fields for t in terms]
+        counts = [F.col(self._tf(f, t)).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)]
+        return self.rows.where(reduce(lambda a, b: a | b, some)).select(*HEADER, *[f"dl_{f}" for f in fields], *counts)
+
+
 class StoredIndex:
     """An index read from a folder that ``TextIndex.store`` wrote; searched like a ``TextIndex``."""
 
@@ -76,6 +94,9 @@ class StoredIndex:
         buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term")).distinct().collect()]
         return self._postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms) & F.col("field").isin(list(fields)))
 
+    def counted(self, terms: list[str], fields: tuple[str, ...]) -> StoredIndex:
+        return self
+
     def profile(self, terms: list[str], fields: tuple[str, ...]) -> Profile:
         n, *means = self.headers.agg(F.count(F.lit(1)), *[F.avg(f"dl_{f}") for f in fields]).first()
         df = {(r["field"], r["term"]): r["n"] for r in self._matching(terms, fields).groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,7 +142,7 @@ def bm25(tf: Column, dl: Column, df: int, n: int, mean: float) -> Column:
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-def matches(index: TextIndex | StoredIndex, query: str, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
+def matches(index: TextIndex | Counts | StoredIndex, query: str, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
     """id, note_id, strict, score of every document that matches, in no order.
 
     Documents that hold every strict term in text or name come first, scored by the strict terms; the rest need any loose
@@ -132,6 +153,7 @@ def matches(index: TextIndex | StoredIndex, query: str, field: str = "all", wher
     terms = list(dict.fromkeys([*strict, *loose]))
     if not terms:
         return index_session(index).createDataFrame([], "id long, note_id long, strict int, score double")
+    index = index.counted(terms, fields)
     profile = index.profile(terms, fields)
     rows = index.frequencies(terms, fields)
     rows = rows if where is None else rows.where(where)
@@ -152,13 +174,18 @@ def matches(index: TextIndex | StoredIndex, query: str, field: str = "all", wher
     return rows.where(keep).select("id", "note_id", first.cast("int").alias("strict"), F.when(first, score(strict)).otherwise(score(loose)).alias("score"))
 
 
-def search(index: TextIndex | StoredIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
+def search(index: TextIndex | Counts | StoredIndex, query: str, limit: int, field: str = "all", where: Column | None = None, mode: str = "both") -> DataFrame:
     """The best ``limit`` of ``matches``: strict ones first, then by score, ties to smaller ids."""
     return matches(index, query, field, where, mode).orderBy(F.desc("strict"), F.desc(F.round("score", 9)), "id").limit(limit)
 
 
-def index_session(index: TextIndex | StoredIndex) -> SparkSession:
-    return (index.tokens if isinstance(index, TextIndex) else index.headers).sparkSession
+def index_session(index: TextIndex | Counts | StoredIndex) -> SparkSession:
+    return {TextIndex: lambda: index.tokens, Counts: lambda: index.rows, StoredIndex: lambda: index.headers}[type(index)]().sparkSession
+
+
+def counted(index: TextIndex, queries: list[str], fields: tuple[str, ...]) -> Counts:
+    """The counts that searches for any of the queries in any of the fields need."""
+    return index.counted([t for q in queries for t in T.query_terms(q, True) + T.query_terms(q, False)], fields)
 
 
 def note_counts(index: TextIndex, query: str, notes: DataFrame, where: Column | None = None) -> DataFrame:

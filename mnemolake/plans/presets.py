@@ -39,10 +39,12 @@ def notes_route(index: fulltext.TextIndex, bodies: DataFrame, query: str, budget
     Titles that match; then contents, without those, within the budget; and where titles are too few, notes by path.
     """
     order = (F.desc("strict"), F.desc(F.round("score", 9)), "id")
-    titles = fulltext.ranked(fulltext.search(index, query, budget.titles, "name"), *order).select("id", "rank")
+    index = fulltext.counted(index, [query], fulltext.FIELDS)
+    titles = settle(fulltext.ranked(fulltext.search(index, query, budget.titles, "name"), *order).select("id", "rank"))  # a handful
     found = fulltext.ranked(fulltext.search(index, query, budget.candidates, "text"), *order).select("id", "rank")
     fresh = found.join(titles.select("id"), "id", "left_anti").join(bodies.select("id", "text"), "id")
-    contents = fusion.within_budget(fresh, F.length("text"), budget.note_chars, ["rank"]).select("id", "rank")
+    # Settled, the texts are read once, and the budget leaves few.
+    contents = settle(fusion.within_budget(fresh, F.length("text"), budget.note_chars, ["rank"]).select("id", "rank"))
     paths = fulltext.ranked(fulltext.search(index, query, budget.candidates, "path"), *order).select("id", "rank")
     others = paths.join(titles.select("id").union(contents.select("id")), "id", "left_anti")
     missing = budget.titles - titles.count()  # at most a handful of rows
