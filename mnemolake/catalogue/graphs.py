@@ -9,6 +9,7 @@ from mnemolake.catalogue import search
 from mnemolake.catalogue.registry import ORACLE_SQL, query, with_parts
 from mnemolake.catalogue.texts import relation_texts
 from mnemolake.operators import graph
+from mnemolake.operators.materialize import settle
 from mnemolake.plans import presets
 from mnemolake.sources.projection import Store
 
@@ -32,7 +33,13 @@ def _augmented(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_parts("rels") + f", {_AUGMENTED} SELECT predicate, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM aug GROUP BY predicate")
 def rule_augmented_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _augmented(spark, d).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
+    """Sums of ids pass a long's ends at some nine million edges, where SQL has no result but an error. They are summed exactly,
+    and are longs, as in SQL, wherever all of them fit; else they stay decimals."""
+    wide = lambda c: F.sum(F.col(c).cast("decimal(19,0)"))
+    rows = settle(_augmented(spark, d).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), wide("src").alias("src_sum"), wide("dst").alias("dst_sum")))  # one for a predicate
+    if not rows.where("greatest(abs(src_sum), abs(dst_sum)) > 9223372036854775807").isEmpty():
+        return rows
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("src_sum", "dst_sum")})
 
 
 @query(with_parts("rels") + f""", {_CANON}

@@ -79,3 +79,14 @@ def test_random_components(spark, edges):
 def test_expand_query():
     groups = {"delta": "g", "epsilon": "g", "other": "h"}
     assert graph.expand_query("what is Epsilon", groups) == "what is Epsilon delta g" and graph.expand_query("none", groups) == "none"
+
+
+def test_sums_of_edges_beyond_a_long(spark, monkeypatch):
+    from mnemolake.catalogue import graphs
+
+    edges = lambda *rows: monkeypatch.setattr(graphs, "_augmented", lambda *_: spark.createDataFrame(rows, "src long, predicate string, dst long"))
+    edges((2**62, "a", 1), (2**62, "a", 2), (2**62, "a", 3), (5, "b", -6))
+    assert sorted(map(tuple, graphs.rule_augmented_edges(spark, "").collect())) == [("a", 3, 3 * 2**62, 6), ("b", 1, 5, -6)]
+    edges((5, "b", -6), (2**62, "b", 7))
+    got = graphs.rule_augmented_edges(spark, "")
+    assert dict(got.dtypes) == {"predicate": "string", "n": "bigint", "src_sum": "bigint", "dst_sum": "bigint"} and got.first()["src_sum"] == 2**62 + 5
