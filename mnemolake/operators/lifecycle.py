@@ -9,6 +9,10 @@ from mnemolake.functions.memory import LifecyclePolicy, decay_steps, tier
 from mnemolake.functions.text import normalized_tag
 
 
+#: Bytes read, by the plan's own estimate, for which a partition of ids is made.
+PART_BYTES = 4 << 20
+
+
 def feedback_fold(feedback: DataFrame, policy: LifecyclePolicy = LifecyclePolicy(), pinned: Column | None = None, group: str = "memory_id") -> DataFrame:
     """memory_id, strength, useful_count, useful_score, last_recalled_at_us, boosted, penalized after a stream of feedback.
 
@@ -80,10 +84,20 @@ def upsert_by_judgment(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def blocked_by_reference(entities: DataFrame, relations: DataFrame, participants: DataFrame) -> DataFrame:
     """id, relations, events of the entities that cannot be deleted because something refers to them."""
-    ends = relations.select(F.col("src").alias("id"), F.col("id").alias("ref")).union(relations.select("dst", "id")).distinct().withColumn("kind", F.lit("relations"))
-    parts = participants.select(F.col("entity_id").alias("id"), F.col("event_id").alias("ref")).distinct().withColumn("kind", F.lit("events"))
-    refs = ends.union(parts).join(entities.select("id"), "id", "left_semi")
-    return refs.groupBy("id").agg(F.count(F.when(F.col("kind") == "relations", 1)).alias("relations"), F.count(F.when(F.col("kind") == "events", 1)).alias("events"))
+    of = lambda df, end, ref, kind: df.select(F.col(end).alias("id"), F.col(ref).alias("ref"), F.lit(kind).alias("kind"))
+    refs = of(relations, "src", "id", 0).union(of(relations, "dst", "id", 0)).union(of(participants, "entity_id", "event_id", 1))
+    # Hardly any repeat: moved before they are compared, they fill no table on the way, and parts are as many as the input asks for.
+    refs = refs.repartition(_parts(refs), "id", "ref").dropDuplicates(["id", "ref", "kind"])
+    counts = refs.groupBy("id").agg(F.count_if(F.col("kind") == 0).alias("relations"), F.count_if(F.col("kind") == 1).alias("events"))
+    return counts.join(entities.select("id"), "id", "left_semi")
+
+
+def _parts(df: DataFrame) -> int:
+    """Partitions for narrow rows: one for ``PART_BYTES`` of what is read, for rows without a known size the session's number.
+    Adaptive plans go by packed bytes and put many millions of such rows together."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-size // PART_BYTES)) if size < 1 << 50 else usual
 
 
 def delete_notes(notes: DataFrame, chunks: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -90,3 +90,20 @@ def test_sums_of_edges_beyond_a_long(spark, monkeypatch):
     edges((5, "b", -6), (2**62, "b", 7))
     got = graphs.rule_augmented_edges(spark, "")
     assert dict(got.dtypes) == {"predicate": "string", "n": "bigint", "src_sum": "bigint", "dst_sum": "bigint"} and got.first()["src_sum"] == 2**62 + 5
+
+
+def test_references_in_as_many_parts_as_they_need(spark, monkeypatch, tmp_path):
+    from mnemolake.operators import lifecycle
+
+    edges = [(i % 50, 1000 + i % 70, i % 7) for i in range(700)] + [(3, 5, 3), (3, 5, 3), (4, 1000, 99)]
+    met = [(i, i % 9) for i in range(60)] + [(1, 1), (1, 98)]
+    spark.createDataFrame(edges, "src long, id long, dst long").write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame(met, "event_id long, entity_id long").write.parquet(f"{tmp_path}/met")
+    relations, people = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/met")
+    assert lifecycle._parts(relations) == 4
+    monkeypatch.setattr(lifecycle, "PART_BYTES", 1 << 10)
+    assert lifecycle._parts(relations) > 4 and lifecycle._parts(spark.createDataFrame(met, "a long, b long")) >= 4
+    got = lifecycle.blocked_by_reference(spark.range(60), relations, people)
+    refs, seen = {(e, r) for s, r, d in edges for e in (s, d)}, set(met)
+    want = {(i, sum(e == i for e, _ in refs), sum(e == i for _, e in seen)) for i in range(60)}
+    assert {(r.id, r.relations, r.events) for r in got.collect()} == {w for w in want if w[1] or w[2]}
